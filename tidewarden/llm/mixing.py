@@ -74,9 +74,10 @@ def shared(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     c = children.withColumn("ratio", F.col("capacity") / F.col("weight"))
     c = c.withColumn("below", F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     c = c.withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    # The level if exactly the children before this one are full; right for the first child that it doesn't fill.
+    # The level if exactly the children before this one are full. It is right for the first child that it doesn't fill,
+    # and falls from there on, so the largest of those is the group's.
     c = c.withColumn("try", (F.col("budget") - F.coalesce("below", F.lit(0.0))) / F.col("rest"))
-    c = c.withColumn("level", F.min(F.when(F.col("try") <= F.col("ratio"), F.col("try"))).over(by))
+    c = c.withColumn("level", F.max(F.when(F.col("try") <= F.col("ratio"), F.col("try"))).over(by))
     share = F.when(F.col("level").isNull(), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.col("level") * F.col("weight")))
     return c.withColumn(name, F.greatest(share, F.lit(0.0))).drop("ratio", "below", "rest", "try", "level")
 
@@ -143,7 +144,7 @@ def _share(name: str, parent: str, columns: str) -> str:
 {name}_try AS (
   SELECT *, (budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t FROM {name}_in),
-{name}_level AS (SELECT *, min(CASE WHEN t <= capacity / weight THEN t END) OVER ({by}) AS level FROM {name}_try),
+{name}_level AS (SELECT *, max(CASE WHEN t <= capacity / weight THEN t END) OVER ({by}) AS level FROM {name}_try),
 {name} AS (
   SELECT * EXCLUDE (budget), greatest(CASE WHEN level IS NULL THEN capacity ELSE least(capacity, level * weight) END, 0) AS budget FROM {name}_level)"""
 
