@@ -49,11 +49,15 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def leaf_of() -> dict[str, Column]:
+    """The leaf of a document, from its columns source and lang."""
+    source = F.coalesce(F.col("source"), F.lit(""))
+    return {"domain": F.when(source.isin(*CRAWLS), "crawl").otherwise("curated"), "lang": F.coalesce(F.col("lang"), F.lit("")), "source": source}
+
+
 def slim(docs: DataFrame) -> DataFrame:
     """doc_id, domain, lang, source and n_tokens of each document."""
-    source = F.coalesce(F.col("source"), F.lit(""))
-    domain = F.when(source.isin(*CRAWLS), "crawl").otherwise("curated")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), source.alias("source"), tokens_of(F.col("text")).alias("n_tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in leaf_of().items()), tokens_of(F.col("text")).alias("n_tokens"))
 
 
 def weight_of(column: str, weights: dict[str, float], other: float) -> Column:
@@ -128,6 +132,20 @@ def selected(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
     return joined.where(taken).drop("full", "last")
 
 
+def selected_rows(docs: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
+    """Whole rows of docs, once for each epoch that selects them, in the columns of docs.
+
+    A row compares its key with its leaf's threshold; the table of leaves is as small as the tree, so no text is
+    shuffled as long as it is under the broadcast limit, and the planner joins otherwise.
+    """
+    full = leaves.select(*(F.col(c).alias(f"_{c}") for c in LEAF), F.col("full").alias("_full"), F.col("last").alias("_last"))
+    leaf = leaf_of()
+    joined = docs.join(full, [leaf[c] == F.col(f"_{c}") for c in LEAF])
+    joined = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full"))))
+    taken = (F.col("_epoch") < F.col("_full")) | ((F.col("_epoch") < mix.epochs) & (F.col("_last") != "") & (key_of(mix.seed, F.col("_epoch")) <= F.col("_last")))
+    return joined.where(taken).select(*docs.columns)
+
+
 def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix, rows = Mix(), common.written(slim(common.table(spark, sf_dir, "documents")), "slim")
     return selected(rows, thresholds(rows, mix), mix).select("doc_id", *LEAF, "n_tokens", "epoch")

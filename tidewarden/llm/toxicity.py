@@ -22,6 +22,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -277,29 +278,62 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, size: int = SAMPL
     return table, logistic(x, got.column("toxic").to_numpy().astype(float), got.column("weight").to_numpy())
 
 
-def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row."""
-    docs = common.texts(docs)
+def classifier(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
+    """A function from an Arrow array of texts to scores (made once in each task), or None without labels of both classes."""
     model = char_model(corpus_counts(docs))
     fitted = fit(docs, labels, model, size)
     if fitted is None:
-        return docs.select("doc_id", held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return None
     table, beta = fitted
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made():
         reader, weights = Reader(model), np.zeros(0)
-        for b in common.steps(batches):
-            rows, numbers = reader.read(b.column(1))
+
+        def scores(texts: pa.Array) -> np.ndarray:
+            nonlocal weights
+            rows, numbers = reader.read(texts)
             if len(reader.words) < len(weights):
                 weights = np.zeros(0)
             weights = np.concatenate([weights, weigh(reader.words[len(weights) :], table)])
-            x = strongest(rows, numbers, weights, b.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
+            x = strongest(rows, numbers, weights, len(texts))
+            return 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -700, 700)))
+
+        return scores
+
+    return made
+
+
+def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row."""
+    docs = common.texts(docs)
+    made = classifier(docs, labels, size)
+    if made is None:
+        return docs.select("doc_id", held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = made()
+        for b in common.steps(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], ["doc_id", "score"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
 
+def marked(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """docs with a column predicted: the rows pass through with their scores, so nothing is shuffled."""
+    made = classifier(common.texts(docs), labels, size)
+    if made is None:
+        return docs.withColumn("predicted", F.lit(0))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scores = made()
+        for texts in batches:
+            parts = [scores(b.column(0)) for b in common.steps(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]))]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.withColumn("predicted", (score(F.coalesce("text", F.lit(""))) >= LIMIT).cast("int"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
