@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewarden.functions import detect, identity, patterns
 from tidewarden.functions import residue_text as R
 from tidewarden.operators import audit, evaluate, gate, residue, store
-from tidewarden.plans.write_log import IMMUTABLE, LOG_SQL, PROTECTED, RESERVED, write_log
+from tidewarden.plans.write_log import IMMUTABLE, LOG_SQL, PROTECTED, RESERVED, spread, write_log
 
 POLICY = gate.Policy(PROTECTED, IMMUTABLE, RESERVED)
 #: Deletes are documents with doc_id modulo DELETE_EVERY of DELETE_AT; reads are READS.
@@ -24,7 +24,7 @@ READS = (
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:

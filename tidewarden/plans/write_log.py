@@ -59,8 +59,14 @@ COLUMNS = {
 PROTECTED, IMMUTABLE, RESERVED = ("config:*",), ("baseline:*",), "guard:"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few to be; large tables are read as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.selectExpr(*[f"{sql.replace('//', 'div') if name == 'content' else sql} AS {name}" for name, sql in COLUMNS.items()])
 
 
