@@ -8,13 +8,12 @@ pre-token of its own when a letter or digit stands before it, so it is split off
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidewarden.llm.common import ragged
+from tidewarden.llm.common import kept, ragged
 
 #: ASCII punctuation but for the apostrophe, which starts contractions.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -130,10 +129,9 @@ def grown(a: np.ndarray, used: int, more: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process, kept over tasks."""
+    """One encoder for each worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return kept(("encoder", path), lambda: WordEncoder(path))

@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -142,7 +142,7 @@ def features_of(word: str) -> list[str]:
 class Reader:
     """Restored words of batches of texts; keeps restored words over batches (emptied when it begins a batch full)."""
 
-    def __init__(self, model: np.ndarray, entries: int = 1_000_000):
+    def __init__(self, model: np.ndarray, entries: int = 500_000):
         self.model, self.entries, self.known = model, entries, {}
         self.words: list[str] = []
 
@@ -285,16 +285,17 @@ def classifier(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
     if fitted is None:
         return None
     table, beta = fitted
+    name = uuid.uuid4().hex
 
     def made():
-        reader, weights = Reader(model), np.zeros(0)
+        state = common.kept(("toxicity", name), lambda: [Reader(model), np.zeros(0)])
 
         def scores(texts: pa.Array) -> np.ndarray:
-            nonlocal weights
+            reader, weights = state
             rows, numbers = reader.read(texts)
             if len(reader.words) < len(weights):
                 weights = np.zeros(0)
-            weights = np.concatenate([weights, weigh(reader.words[len(weights) :], table)])
+            state[1] = weights = np.concatenate([weights, weigh(reader.words[len(weights) :], table)])
             x = strongest(rows, numbers, weights, len(texts))
             return 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -700, 700)))
 
@@ -325,12 +326,12 @@ def marked(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     if made is None:
         return docs.withColumn("predicted", F.lit(0))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = made()
         for texts in batches:
-            parts = [scores(b.column(0)) for b in common.steps(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]))]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            parts = [scores(b.column(0)) for b in common.steps(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn("predicted", (score(F.coalesce("text", F.lit(""))) >= LIMIT).cast("int"))
 
