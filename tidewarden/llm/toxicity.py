@@ -124,19 +124,27 @@ def decode(token: str, model: np.ndarray) -> str:
 
 
 def restore(token: str, model: np.ndarray) -> str:
-    """A lower-case chunk between white space as a word: without punctuation around it, and decoded if disguised."""
+    """A lower-case chunk between white space as a word: without punctuation around it, and decoded if disguised.
+
+    A single sign at an end may be punctuation or a letter; both readings are given, with a blank between them.
+    """
     core = token.strip(EDGES)
-    if core.isalpha():
-        return decode(core, model) if THRICE.search(core) else core
     if not core or not any(c.isalpha() for c in core):
         return core
-    outer = token.strip(".,;:?\"'()[]{}«»…“”‘’—–") or core
-    return decode(outer if any(c in LEET for c in (outer[0], outer[-1])) else core, model)
+    word = core if core.isalpha() and not THRICE.search(core) else decode(core, model)
+    at = token.find(core)
+    before, after = token[:at], token[at + len(core) :]
+    first = before[-1:] if before[-1:] in LEET and before[-2:-1] != before[-1:] else ""
+    last = after[:1] if after[:1] in LEET and after[1:2] != after[:1] else ""
+    if first or last:
+        other = decode(first + core + last, model)
+        return word if other == word else f"{word} {other}"
+    return word
 
 
 def features_of(word: str) -> list[str]:
-    """The word and its beginnings."""
-    return [word, *(f"^{word[:k]}" for k in range(3, 9) if len(word) > k)]
+    """Each reading of a word and its beginnings."""
+    return [f for w in word.split(" ") for f in (w, *(f"^{w[:k]}" for k in range(3, 9) if len(w) > k))]
 
 
 class Reader:
