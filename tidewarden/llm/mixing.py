@@ -138,11 +138,11 @@ def selected_rows(docs: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
     A row compares its key with its leaf's threshold; the table of leaves is as small as the tree, so no text is
     shuffled as long as it is under the broadcast limit, and the planner joins otherwise.
     """
-    full = leaves.select(*(F.col(c).alias(f"_{c}") for c in LEAF), F.col("full").alias("_full"), F.col("last").alias("_last"))
+    full = leaves.select(*(F.col(c).alias(f"_tidewarden_{c}") for c in LEAF), F.col("full").alias("_tidewarden_full"), F.col("last").alias("_tidewarden_last"))
     leaf = leaf_of()
-    joined = docs.join(full, [leaf[c] == F.col(f"_{c}") for c in LEAF])
-    joined = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full"))))
-    taken = (F.col("_epoch") < F.col("_full")) | ((F.col("_epoch") < mix.epochs) & (F.col("_last") != "") & (key_of(mix.seed, F.col("_epoch")) <= F.col("_last")))
+    joined = docs.join(full, [leaf[c] == F.col(f"_tidewarden_{c}") for c in LEAF])
+    joined = joined.withColumn("_tidewarden_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tidewarden_full"))))
+    taken = (F.col("_tidewarden_epoch") < F.col("_tidewarden_full")) | ((F.col("_tidewarden_epoch") < mix.epochs) & (F.col("_tidewarden_last") != "") & (key_of(mix.seed, F.col("_tidewarden_epoch")) <= F.col("_tidewarden_last")))
     return joined.where(taken).select(*docs.columns)
 
 

@@ -35,6 +35,8 @@ SAMPLE, TOP, LIMIT = 10_000, 5, 0.3
 #: Toxic texts that must have a feature for it to count, other texts that it is taken to be in besides those it is in,
 #: and log-odds below which it doesn't count.
 LEAST, PRIOR, LEAN = 5, 1.0, 3.0
+#: The column that marked() adds.
+MARK = "_tidewarden_toxic"
 #: The alphabet of the character model; 0 is a word's edge, 1 any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 CODE = {c: i + 2 for i, c in enumerate(LETTERS)}
@@ -329,10 +331,10 @@ def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def marked(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """docs with a column predicted: the rows pass through with their scores, so nothing is shuffled."""
+    """docs with a column MARK (1: toxic): the rows pass through with their scores, so nothing is shuffled."""
     made = classifier(common.texts(docs), labels, size)
     if made is None:
-        return docs.withColumn("predicted", F.lit(0))
+        return docs.withColumn(MARK, F.lit(0))
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -341,7 +343,7 @@ def marked(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
             parts = [scores(b.column(0)) for b in common.steps(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("predicted", (score(F.coalesce("text", F.lit(""))) >= LIMIT).cast("int"))
+    return docs.withColumn(MARK, (score(F.coalesce("text", F.lit(""))) >= LIMIT).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
