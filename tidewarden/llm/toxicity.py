@@ -1,8 +1,8 @@
 """Toxicity of documents whose words may be disguised.
 
 Method: noisy channel. A disguised token is a lattice of characters: leetspeak signs may stand for letters, separators
-between letters and repeated letters may be noise, single letters in a row may be a word that was spaced out. Viterbi
-decoding under a character trigram model of the whole corpus restores the word. The restored text is scored by
+between letters and repeated letters may be noise, single letters in a row may be words that were spaced out, with
+boundaries anywhere. Signs without a letter are decoded too. Viterbi decoding under a character trigram model of the whole corpus restores the word. The restored text is scored by
 log-odds of its words and word beginnings between labelled toxic and other texts, and a logistic function of the
 strongest of them gives the score.
 
@@ -46,7 +46,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Costs in nats: a sign read as a letter, a sign or separator as noise, a masked letter, a repeated letter as noise.
 SIGN, DROP_SIGN, DROP, MASK, REPEAT = 0.5, 6.0, 0.5, 1.0, 0.3
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…“”‘’—–"
-THRICE = re.compile(r"(.)\1\1")
+TWICE = re.compile(r"(.)\1")
 
 
 def char_model(counts: np.ndarray) -> np.ndarray:
@@ -94,8 +94,8 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(SIZE, SIZE, SIZE)
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The most likely word behind a lower-case token."""
+def decode(token: str, model: np.ndarray, split: bool = False) -> str:
+    """The most likely word behind a lower-case token; split: words, as blanks may have been left out between letters."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     before = ""
     for c in token:
@@ -112,6 +112,10 @@ def decode(token: str, model: np.ndarray) -> str:
                 options += [(x, MASK) for x in LETTERS[:26]]
             options.append(("", DROP_SIGN if c in LEET and c not in "!|(" else DROP))
         after: dict[tuple[int, int], tuple[float, str]] = {}
+        if split:  # a word may end here
+            ends = [(score + float(model[a, b, 0]), f"{text} ") for (a, b), (score, text) in states.items() if (a, b) != (0, 0)]
+            if ends:
+                states[0, 0] = max(ends)
         for (a, b), (score, text) in states.items():
             for letter, cost in options:
                 if letter:
@@ -131,19 +135,32 @@ def restore(token: str, model: np.ndarray) -> str:
     A single sign at an end may be punctuation or a letter; both readings are given, with a blank between them.
     """
     core = token.strip(EDGES)
-    if not core or not any(c.isalpha() for c in core):
+    if not core:
         return core
-    word = core if core.isalpha() and not THRICE.search(core) else decode(core, model)
+    # Signs alone may be a word if three or more of them can be letters; numbers are read as they are, too.
+    if not any(c.isalpha() for c in core):
+        return f"{core} {decode(core, model)}".strip() if sum(c in LEET for c in core) >= 3 else core
+    word = core if core.isalpha() and not TWICE.search(core) else decode(core, model)
+    if word != core and core.isalpha():  # the model may take a real double letter for noise, so both readings count
+        word = f"{core} {word}"
     at = token.find(core)
     before, after = token[:at], token[at + len(core) :]
     first = before[-1:] if before[-1:] in LEET and before[-2:-1] != before[-1:] else ""
     last = after[:1] if after[:1] in LEET and after[1:2] != after[:1] else ""
     if first or last:
         other = decode(first + core + last, model)
-        return word if other == word else f"{word} {other}"
+        return word if other in word.split(" ") else f"{word} {other}"
     return word
 
 
+def segmented(letters: str, model: np.ndarray) -> str:
+    """The words that a run of single letters may be: the likeliest boundaries, and the run without some of its ends."""
+    words = decode(letters, model, True).split()
+    # A one-letter word beside a spaced-out word.
+    words += [decode(part, model) for part in (letters[1:], letters[:-1], letters[1:-1]) if len(part) > 2]
+    return " ".join(dict.fromkeys(words))
+
+
 def features_of(word: str) -> list[str]:
     """Each reading of a word and its beginnings."""
     return [f for w in word.split(" ") for f in (w, *(f"^{w[:k]}" for k in range(3, 9) if len(w) > k))]
@@ -176,15 +193,17 @@ class Reader:
             for run in np.split(ones, cut):
                 if len(run) >= 3:
                     letters = "".join(chunks[k] for k in index[run])
-                    more_rows.append(rows[run[0]])
-                    more.append(self._number(letters))
+                    more_rows += [rows[run[0]]] * 2
+                    more += [self._number(letters), self._number(letters, True)]
         return np.concatenate([rows, np.array(more_rows, np.int64)]), np.concatenate([numbers[index] if len(chunks) else np.zeros(0, np.int64), np.array(more, np.int64)])
 
-    def _number(self, chunk: str) -> int:
-        k = self.known.get(chunk)
+    def _number(self, chunk: str, run: bool = False) -> int:
+        """Number of a chunk's word, or of the words that a run of single letters may be."""
+        key = f"{chunk} " if run else chunk  # no chunk has a blank
+        k = self.known.get(key)
         if k is None:
-            k = self.known[chunk] = len(self.words)
-            self.words.append(restore(chunk, self.model))
+            k = self.known[key] = len(self.words)
+            self.words.append(segmented(chunk, self.model) if run else restore(chunk, self.model))
         return k
 
 
