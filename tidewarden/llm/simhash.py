@@ -269,15 +269,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable by links) of each row."""
+    """doc_id, fp, component_id (the least doc_id reachable by links) and root (a fingerprint that names the component) of each row."""
     prints = common.written(fingerprints(docs, words), "fingerprints")
     nodes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = connected(links(nodes, distance))
     member = found.union(found.select(F.col("root"), F.col("root"))).distinct().withColumnRenamed("node", "fp")
     least = member.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    final = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(least, "root").select("fp", "component_id", "root")
+    final = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(final, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
