@@ -1,5 +1,7 @@
 """Token file and packing against the tokenizer itself."""
 
+import json
+import random
 import zlib
 
 import numpy as np
@@ -19,12 +21,58 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_cached_encoding_equals_the_library():
-    enc = tokens.WordEncoder(tokens.vocabulary_path(), entries=2)
-    for _ in range(2):
-        ids, bounds = enc.encode(pa.array([t or "" for t in TEXTS]))
-        for k, t in enumerate(TEXTS):
-            assert [*ids[bounds[k] : bounds[k + 1]].tolist(), 9] == ids_of(t, 9)
+def unlike(texts):
+    """Texts whose ids are others than the library's."""
+    enc = tokens.encoder(tokens.vocabulary_path())
+    assert enc.fast
+    ids, bounds = enc.encode(pa.array(texts, pa.string()))
+    want = enc.tok.encode_batch_fast(texts, add_special_tokens=False)
+    return [t for k, t in enumerate(texts) if ids[bounds[k] : bounds[k + 1]].tolist() != want[k].ids]
+
+
+def test_ids_are_those_of_the_library():
+    assert unlike([t or "" for t in TEXTS]) == []
+    assert unlike([]) == []
+    assert tokens.encoder(tokens.vocabulary_path()).encode(pa.array(['"-İ_#"']))[0].tolist() == tokens.library(tokens.vocabulary_path()).encode('"-İ_#"').ids
+    sliced = pa.array(["q", "ab cd", "", "ef <|endoftext|>"]).slice(1)
+    ids, bounds = tokens.encoder(tokens.vocabulary_path()).encode(sliced)
+    assert [[*ids[a:z].tolist(), 9] for a, z in zip(bounds, bounds[1:])] == [ids_of(t, 9) for t in sliced.to_pylist()]
+
+
+def test_every_character_is_encoded_as_by_the_library():
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x20000))]
+    assert unlike([x for c in points for x in (f"a{c}.", f"{c}x'{c}s")]) == []
+
+
+@pytest.mark.parametrize("pool", ["abcdefgzIİ_#'-.,<|>1290 \t\n\x0b\x1c\x85éÉßſŒœªµºÀÿĀņňŉŊ½²×÷«»\u0301\u093c\u0958ə", "ab", "abcdefghijklmnopqrstuvwxyz", "lmtd's re'v "])
+def test_random_texts_are_encoded_as_by_the_library(pool):
+    rng = random.Random(pool)
+    assert unlike(["".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(20_000)] + ["".join(rng.choices(pool, k=2000)) for _ in range(50)]) == []
+
+
+def test_every_token_is_what_its_own_text_merges_to():
+    """Then merging by the rank of the merged bytes is merging by the library's list of pairs."""
+    with open(tokens.vocabulary_path(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    special = {t for t in model["vocab"] if t.startswith("<|")}
+    rank = tokens.ranks(model["vocab"], "</w>", special)
+    raw = dict(zip((t for t in model["vocab"] if t not in special), rank, strict=True))
+    for a, b in model["merges"]:
+        want = [raw[a], raw[b]]
+        parts = [bytes([x]) for x in b"".join(want)]
+        while len(parts) > 2:
+            k = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], 1 << 30))
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert parts == want
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    enc = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a  b", "", " x\ny"]
+    ids, bounds = enc.encode(pa.array(texts))
+    assert enc.fast is None and [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("seed", range(5))
