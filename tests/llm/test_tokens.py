@@ -144,7 +144,42 @@ def test_packing_is_whole_and_as_good_as_best_fit(spark, seed):
             assert offset == at
             at += n
         assert at <= 64
-    assert len(by) <= best_fit(lengths, 64)
+    assert len(by) == best_fit(lengths, 64)
+
+
+def filled(lengths, capacity):
+    """Sequences that the rounds give, after checks that each is gapless and no place is taken twice."""
+    by = {}
+    for n, runs in packing.rounds({n: lengths.count(n) for n in set(lengths)}, capacity).items():
+        ends = [r[0] for r in runs[1:]] + [lengths.count(n)]
+        for (rank, first, per, offset), end in zip(runs, ends, strict=True):
+            for k in range(end - rank):
+                by.setdefault(first + k // per, []).append((offset + k % per * n, n))
+    assert sum(map(len, by.values())) == len(lengths)
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(by)
+
+
+def test_rounds_make_as_many_sequences_as_best_fit_decreasing():
+    assert filled([475] * 6 + [401] * 4 + [292] * 5, 2048) == 3
+    rng = random.Random(5)
+    for _ in range(4000):
+        capacity = rng.choice([10, 64, 2048])
+        top = rng.randint(1, capacity)
+        lengths = [n for n in (rng.randint(1, top) for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 7))]
+        assert filled(lengths, capacity) == best_fit(lengths, capacity)
+
+
+def test_packing_of_repeated_rows_and_rows_without_an_id(spark, write_docs):
+    rows = [(None, "a b"), (7, "c"), (7, "c"), (7, "d e f")]
+    got = packing.op4_best_fit_packing(spark, write_docs(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 3), (7, 2), (7, 2), (7, 4)]
+    assert {r["sequence_id"] for r in got} == {0} and sorted(r["offset"] for r in got)[0] == 0 and sum(r["length"] for r in got) == 11
 
 
 def test_packing_query(spark, write_docs):

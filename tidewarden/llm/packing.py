@@ -1,18 +1,17 @@
 """Packing documents into sequences of a fixed capacity.
 
-Method: bulk-synchronous best-fit. Pieces are range-sorted by length in the cluster and ranked within their length.
-Gaps are range-sorted by size too, held as runs of sequences of equal gap. Round by round, from the longest length
-down, all pieces of a length sweep to the smallest gaps that hold them (the successors), as many as there are gaps; the
-k-th piece of a length takes the k-th place, so ranks resolve conflicts; the gaps shrink and the round repeats until
-the length is used up, and what fits nowhere opens sequences.
+Method: bulk-synchronous best-fit over classes. Pieces are range-sorted by length in the cluster and ranked within their
+length. Gaps are held by size, as runs of sequences of equal gap. Round by round, from the longest length down, all
+pieces of a length sweep over the smallest gaps that hold them (the successors) and fill them; the k-th piece of a length
+takes the k-th place, so ranks resolve conflicts; the gaps shrink, and what fits nowhere opens sequences.
 
 Pieces of one length are alike, so a round needs only the number of pieces of a length and the runs of gaps: at most
-`capacity` classes, whatever the number of documents. The rounds therefore run on class counts, and the pieces
-are touched once, to take their places from the finished table of rounds. The outcome is that of sequential best-fit
-decreasing.
+`capacity` classes, whatever the number of documents. So the rounds run on class counts on the driver, and the pieces
+are touched once, to take their places from the finished table of rounds. A piece goes where sequential best-fit
+decreasing puts it (or to a sequence of the same gap), so there are as many sequences as it makes.
 
 Edge cases: a null text is empty and has the end id only; repeated rows are packed as often as they occur (a piece is
-(doc_id, piece) of each row); an empty table gives no rows; texts longer than the capacity are cut into whole sequences
+(doc_id, piece) of each row); a null doc_id is kept; an empty table gives no rows; texts longer than the capacity are cut into whole sequences
 and a rest; ties in length are ordered by doc_id and piece. Other columns are ignored.
 """
 
@@ -58,18 +57,18 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     return common.texts(docs).mapInArrow(run, PIECES)
 
 
-def rounds(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int]]]:
-    """For each length: (first rank, first sequence, offset) of each run of places, by rank.
+def rounds(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
+    """For each length: (first rank, first sequence, pieces in a sequence, offset) of each run of places, by rank.
 
-    counts: pieces of each length. Places of one run are in sequences with consecutive numbers.
+    counts: pieces of each length. Places of one run fill sequences with consecutive numbers, one after the other.
     """
     runs: dict[int, list[list[int]]] = {}  # gap -> runs of [first sequence, number of sequences]
     sizes: list[int] = []  # gaps that have runs, ascending
-    places: dict[int, list[tuple[int, int, int]]] = {}
+    places: dict[int, list[tuple[int, int, int, int]]] = {}
     opened = 0
 
     def put(gap: int, first: int, n: int) -> None:
-        if not gap:
+        if not gap or not n:
             return
         if gap not in runs:
             runs[gap] = []
@@ -90,19 +89,21 @@ def rounds(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, i
                 put(capacity, opened, n)
                 opened += n
                 continue
+            # A sequence with the smallest gap that holds the piece still has the smallest one after it, so it is filled.
             gap = sizes[k]
-            first, n = runs[gap][0]
-            take = min(left, n)
-            mine.append((rank, first, capacity - gap))
+            first, n = runs[gap].pop(0)
+            per = gap // length
+            take = min(left, n * per)
+            mine.append((rank, first, per, capacity - gap))
             rank, left = rank + take, left - take
-            if take == n:
-                runs[gap].pop(0)
-                if not runs[gap]:
-                    del runs[gap]
-                    sizes.pop(k)
-            else:
-                runs[gap][0] = [first + take, n - take]
-            put(gap - length, first, take)
+            full, rest = divmod(take, per)
+            if not runs[gap]:
+                del runs[gap]
+                sizes.pop(k)
+            put(gap - per * length, first, full)
+            if rest:
+                put(gap - rest * length, first + full, 1)
+            put(gap, first + full + (rest > 0), n - full - (rest > 0))
     return places
 
 
@@ -142,9 +143,10 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             seq, offset = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             for n in np.unique(length):
                 mine = np.flatnonzero(length == n)
-                ranks, first, off = table[int(n)]
+                ranks, first, per, off = table[int(n)]
                 k = np.searchsorted(ranks, at[mine], side="right") - 1
-                seq[mine], offset[mine] = first[k] + at[mine] - ranks[k], off[k]
+                nth = at[mine] - ranks[k]
+                seq[mine], offset[mine] = first[k] + nth // per[k], off[k] + nth % per[k] * n
             yield pa.RecordBatch.from_arrays([*b.columns[: len(schema)], pa.array(seq), pa.array(offset)], schema=final)
 
     joined = local.join(before.select("length", "part", "before"), ["length", "part"]).select(*schema.names, "rank", "before")
