@@ -52,20 +52,6 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_KEPT: dict = {}
-
-
-def kept(key: tuple, make):
-    """make() once for each worker process, kept over tasks until another key is asked for.
-
-    A worker so holds one operator's cache at a time, whatever stages it has run before.
-    """
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

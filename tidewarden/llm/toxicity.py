@@ -2,7 +2,8 @@
 
 Method: noisy channel. A disguised token is a lattice of characters: leetspeak signs may stand for letters, separators
 between letters and repeated letters may be noise, single letters in a row may be words that were spaced out, with
-boundaries anywhere. Signs without a letter are decoded too. Viterbi decoding under a character trigram model of the whole corpus restores the word. The restored text is scored by
+boundaries anywhere. Signs without a letter are decoded too. Viterbi decoding under a character trigram model of the
+whole corpus restores the word, in time linear in the token's length. The restored text is scored by
 log-odds of its words and word beginnings between labelled toxic and other texts, and a logistic function of the
 strongest of them gives the score.
 
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,6 +35,8 @@ SAMPLE, TOP, LIMIT = 10_000, 5, 0.3
 #: Toxic texts that must have a feature for it to count, other texts that it is taken to be in besides those it is in,
 #: and log-odds below which it doesn't count.
 LEAST, PRIOR, LEAN = 5, 1.0, 3.0
+#: Bytes of restored words that a task keeps.
+CACHE = 16 << 20
 #: The column that marked() adds.
 MARK = "_tidewarden_toxic"
 #: The alphabet of the character model; 0 is a word's edge, 1 any other letter.
@@ -46,7 +48,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Costs in nats: a sign read as a letter, a sign or separator as noise, a masked letter, a repeated letter as noise.
 SIGN, DROP_SIGN, DROP, MASK, REPEAT = 0.5, 6.0, 0.5, 1.0, 0.3
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…“”‘’—–"
-TWICE = re.compile(r"(.)\1")
+TWICE, RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
+MASKS = "*#%?"
+#: Words that need no decoding: letters, none of them doubled (longer alternatives are left to TWICE).
+PLAIN, DOUBLE = r"^[a-zß-öø-ÿœ]*$", "|".join(c * 2 for c in LETTERS)
 
 
 def char_model(counts: np.ndarray) -> np.ndarray:
@@ -94,11 +99,41 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(SIZE, SIZE, SIZE)
 
 
+def longest_mask(model: np.ndarray) -> int:
+    """Signs of a run of MASKS that can matter. Reading one as a letter costs over MASK - REPEAT more than dropping it and gains
+    at most the costs of the letters next to it, so the best reading of a longer run drops what is over this number."""
+    return int(5 * -float(model.min()) / (MASK - REPEAT)) + 1
+
+
+def _mask_step(states: dict, model: np.ndarray, drop: float) -> dict:
+    """What the general step does for a masked letter, for many states at once."""
+    score, nodes = np.full((SIZE, SIZE), -np.inf), {}
+    for (a, b), (x, node) in states.items():
+        score[a, b], nodes[a, b] = x, node
+    letters = slice(2, 28)
+    all_ = score[:, :, None] - MASK + model[:, :, letters]
+    best = all_.argmax(axis=0)
+    value = np.take_along_axis(all_, best[None], axis=0)[0]
+    after = {key: (x - drop, node) for key, (x, node) in states.items()}
+    for b, k in zip(*(v.tolist() for v in np.nonzero(value > -np.inf)), strict=True):
+        x = float(value[b, k])
+        if (b, k + 2) not in after or x > after[b, k + 2][0]:
+            after[b, k + 2] = (x, (nodes[int(best[b, k]), b], LETTERS[k]))
+    return after
+
+
 def decode(token: str, model: np.ndarray, split: bool = False) -> str:
-    """The most likely word behind a lower-case token; split: words, as blanks may have been left out between letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
+    """The most likely word behind a lower-case token; split: words, as blanks may have been left out between letters.
+
+    Time is linear in the token: a path is a chain of back-pointers, and runs of masks count up to longest_mask().
+    """
+    most = longest_mask(model)
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    before, masks = "", 0
     for c in token:
+        masks = masks + 1 if c in MASKS else 0
+        if masks > most:
+            continue
         options = []  # (letter or '', cost)
         if c.isalpha():
             options.append((c, 0.0))
@@ -106,27 +141,49 @@ def decode(token: str, model: np.ndarray, split: bool = False) -> str:
                 options.append(("", REPEAT))
         else:
             options += [(x, SIGN) for x in LEET.get(c, "")]
-            if c == before:
-                options.append(("", REPEAT))
-            if c in "*#%?":
+            if masks:
                 options += [(x, MASK) for x in LETTERS[:26]]
-            options.append(("", DROP_SIGN if c in LEET and c not in "!|(" else DROP))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+            options.append(("", REPEAT if c == before or masks > 1 else DROP_SIGN if c in LEET and c not in "!|(" else DROP))
+        before = c
         if split:  # a word may end here
-            ends = [(score + float(model[a, b, 0]), f"{text} ") for (a, b), (score, text) in states.items() if (a, b) != (0, 0)]
+            ends = [(score + float(model[a, b, 0]), (node, " ")) for (a, b), (score, node) in states.items() if (a, b) != (0, 0)]
             if ends:
-                states[0, 0] = max(ends)
-        for (a, b), (score, text) in states.items():
+                states[0, 0] = max(ends, key=lambda x: x[0])
+        if len(options) == 1 and not options[0][0]:
+            continue  # the same cost for all
+        if masks and len(states) > 40:
+            states = _mask_step(states, model, options[-1][1])
+            continue
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, node) in states.items():
             for letter, cost in options:
                 if letter:
                     k = CODE.get(letter, 1)
-                    key, new = (b, k), (score - cost + float(model[a, b, k]), text + letter)
+                    key, new = (b, k), (score - cost + float(model[a, b, k]), (node, letter))
                 else:
-                    key, new = (a, b), (score - cost, text)
+                    key, new = (a, b), (score - cost, node)
                 if key not in after or new[0] > after[key][0]:
                     after[key] = new
-        states, before = after, c
-    return max(states.items(), key=lambda x: x[1][0] + float(model[x[0][0], x[0][1], 0]))[1][1]
+        states = after
+    node, out = max(states.items(), key=lambda x: x[1][0] + float(model[x[0][0], x[0][1], 0]))[1][1], []
+    while node:
+        node, letter = node
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+def collapsed(word: str, model: np.ndarray) -> str:
+    """decode() of a word of letters alone: only repeated letters may be noise, and each run of them is a choice of its own."""
+
+    def kept(m: re.Match) -> str:
+        x, at, end = m[1], m.start(), m.end()
+        p, k, n = CODE.get(word[at - 1], 1) if at else 0, CODE.get(x, 1), CODE.get(word[end], 1) if end < len(word) else 0
+        long = end - at
+        one = (long - 1) * -REPEAT + float(model[p, k, n])
+        more = float(model[p, k, k]) + float(model[k, k, n]) + (long - 2) * max(-REPEAT, float(model[k, k, k]))
+        return x if one >= more else x * (2 if -REPEAT >= float(model[k, k, k]) else long)
+
+    return RUN.sub(kept, word)
 
 
 def restore(token: str, model: np.ndarray) -> str:
@@ -140,7 +197,7 @@ def restore(token: str, model: np.ndarray) -> str:
     # Signs alone may be a word if three or more of them can be letters; numbers are read as they are, too.
     if not any(c.isalpha() for c in core):
         return f"{core} {decode(core, model)}".strip() if sum(c in LEET for c in core) >= 3 else core
-    word = core if core.isalpha() and not TWICE.search(core) else decode(core, model)
+    word = collapsed(core, model) if core.isalpha() else decode(core, model)
     if word != core and core.isalpha():  # the model may take a real double letter for noise, so both readings count
         word = f"{core} {word}"
     at = token.find(core)
@@ -167,44 +224,56 @@ def features_of(word: str) -> list[str]:
 
 
 class Reader:
-    """Restored words of batches of texts; keeps restored words over batches (emptied when it begins a batch full)."""
+    """Restored words of batches of texts; restored words are kept over the batches of a task up to CACHE bytes."""
 
-    def __init__(self, model: np.ndarray, entries: int = 500_000):
-        self.model, self.entries, self.known = model, entries, {}
-        self.words: list[str] = []
+    def __init__(self, model: np.ndarray):
+        self.model, self.known, self.held = model, {}, 0
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, number of word) pairs; words in self.words."""
-        if len(self.known) > self.entries:
-            self.known, self.words = {}, []
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(row, number of word) pairs, and the words, one for each number."""
+        if self.held > CACHE:
+            self.known, self.held = {}, 0
         lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         flat = lists.flatten().dictionary_encode()
-        chunks = flat.dictionary.to_pylist()
-        numbers = np.array([self._number(c) for c in chunks], np.int64)
+        chunks = flat.dictionary
+        core = pc.utf8_trim(chunks, characters=EDGES)
+        # A sign beside a word may be one of its letters; words of letters without it are as they are.
+        edge = pc.and_(pc.not_equal(chunks, core), pc.match_substring_regex(chunks, "[" + re.escape("".join(c for c in LEET if c in EDGES)) + "]"))
+        plain = pc.and_not(pc.and_not(pc.match_substring_regex(core, PLAIN), pc.match_substring_regex(core, DOUBLE)), edge).to_numpy(zero_copy_only=False)
+        words = core.to_pylist()
+        other = np.flatnonzero(~plain)
+        for k, c in zip(other.tolist(), chunks.take(pa.array(other)).to_pylist(), strict=True):
+            words[k] = self._word(c)
         index = flat.indices.to_numpy(zero_copy_only=False)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
         # Words that were spaced out: three or more single letters or signs in a row.
-        single = np.array([len(c) == 1 and (c.isalpha() or c in LEET) or len(c) == 2 and c[0].isalpha() and c[1] in ".-_*" for c in chunks], bool)
+        single = np.zeros(len(chunks), bool)
+        for k in np.flatnonzero(pc.less_equal(pc.utf8_length(chunks), 2).to_numpy(zero_copy_only=False)).tolist():
+            c = chunks[k].as_py()
+            single[k] = len(c) == 1 and (c.isalpha() or c in LEET) or len(c) == 2 and c[0].isalpha() and c[1] in ".-_*"
         ones = np.flatnonzero(single[index]) if len(chunks) else np.zeros(0, np.int64)
         more_rows, more = [], []
         if len(ones):
             cut = np.flatnonzero((np.diff(ones) != 1) | (np.diff(rows[ones]) != 0)) + 1
             for run in np.split(ones, cut):
                 if len(run) >= 3:
-                    letters = "".join(chunks[k] for k in index[run])
+                    letters = "".join(chunks[k].as_py() for k in index[run].tolist())
                     more_rows += [rows[run[0]]] * 2
-                    more += [self._number(letters), self._number(letters, True)]
-        return np.concatenate([rows, np.array(more_rows, np.int64)]), np.concatenate([numbers[index] if len(chunks) else np.zeros(0, np.int64), np.array(more, np.int64)])
+                    more += [len(words), len(words) + 1]
+                    words += [self._word(letters), self._word(letters, True)]
+        return np.concatenate([rows, np.array(more_rows, np.int64)]), np.concatenate([index.astype(np.int64), np.array(more, np.int64)]), words
 
-    def _number(self, chunk: str, run: bool = False) -> int:
-        """Number of a chunk's word, or of the words that a run of single letters may be."""
+    def _word(self, chunk: str, run: bool = False) -> str:
+        """A chunk's word, or the words that a run of single letters may be."""
         key = f"{chunk} " if run else chunk  # no chunk has a blank
-        k = self.known.get(key)
-        if k is None:
-            k = self.known[key] = len(self.words)
-            self.words.append(segmented(chunk, self.model) if run else restore(chunk, self.model))
-        return k
+        word = self.known.get(key)
+        if word is None:
+            word = segmented(chunk, self.model) if run else restore(chunk, self.model)
+            if self.held <= CACHE:
+                self.known[key] = word
+                self.held += 200 + len(key) + len(word)
+        return word
 
 
 def held_out():
@@ -249,7 +318,25 @@ def strongest(rows: np.ndarray, numbers: np.ndarray, weights: np.ndarray, n: int
 
 
 def weigh(words: list[str], table: dict[str, float]) -> np.ndarray:
-    return np.array([max((table.get(f, 0.0) for f in features_of(w)), default=0.0) if w else 0.0 for w in words])
+    """The greatest weight of each word's features (see features_of)."""
+    out = np.zeros(len(words))
+    if not table or not words:
+        return out
+    lists = pc.split_pattern(pa.array(words, pa.string()), " ")
+    parts, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    names, weights = pa.array(list(table), pa.string()), np.append(np.array(list(table.values())), 0.0)
+    long = pc.utf8_length(parts).to_numpy()
+
+    def add(features: pa.Array, who: np.ndarray) -> None:
+        at = pc.fill_null(pc.index_in(features, names), len(names)).to_numpy()
+        some = np.flatnonzero(at < len(names))
+        np.maximum.at(out, who[some], weights[at[some]])
+
+    add(parts, owner)
+    for k in range(3, 9):
+        some = np.flatnonzero(long > k)
+        add(pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(parts.take(pa.array(some)), 0, k), ""), owner[some])
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -274,11 +361,11 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, size: int = SAMPL
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for b in common.steps(batches):
-            rows, numbers = reader.read(b.column(0))
+            rows, numbers, words = reader.read(b.column(0))
             toxic = b.column(1).to_pylist()
             seen: list = [set() for _ in toxic]
             for r, k in np.unique(np.column_stack([rows, numbers]), axis=0).tolist():
-                if w := reader.words[k]:
+                if w := words[k]:
                     seen[r].update(features_of(w))
             total: dict = defaultdict(lambda: [0, 0])
             for t, s in zip(toxic, seen, strict=True):
@@ -298,8 +385,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, size: int = SAMPL
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for b in common.steps(batches):
-            rows, numbers = reader.read(b.column(0))
-            x = strongest(rows, numbers, weigh(reader.words, table), b.num_rows)
+            rows, numbers, words = reader.read(b.column(0))
+            x = strongest(rows, numbers, weigh(words, table), b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), b.column(1), b.column(2)], ["a", "b", "c", "toxic", "weight"])
 
     got = picked.where("NOT fit").select("text", F.col("toxic").cast("int").alias("toxic"), "weight").mapInArrow(values, "a double, b double, c double, toxic int, weight double").toArrow()
@@ -314,18 +401,13 @@ def classifier(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
     if fitted is None:
         return None
     table, beta = fitted
-    name = uuid.uuid4().hex
 
     def made():
-        state = common.kept(("toxicity", name), lambda: [Reader(model), np.zeros(0)])
+        reader = Reader(model)
 
         def scores(texts: pa.Array) -> np.ndarray:
-            reader, weights = state
-            rows, numbers = reader.read(texts)
-            if len(reader.words) < len(weights):
-                weights = np.zeros(0)
-            state[1] = weights = np.concatenate([weights, weigh(reader.words[len(weights) :], table)])
-            x = strongest(rows, numbers, weights, len(texts))
+            rows, numbers, words = reader.read(texts)
+            x = strongest(rows, numbers, weigh(words, table), len(texts))
             return 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -700, 700)))
 
         return scores
