@@ -240,7 +240,7 @@ class Reader:
         # A sign beside a word may be one of its letters; words of letters without it are as they are.
         edge = pc.and_(pc.not_equal(chunks, core), pc.match_substring_regex(chunks, "[" + re.escape("".join(c for c in LEET if c in EDGES)) + "]"))
         plain = pc.and_not(pc.and_not(pc.match_substring_regex(core, PLAIN), pc.match_substring_regex(core, DOUBLE)), edge).to_numpy(zero_copy_only=False)
-        words = core.to_pylist()
+        words = core.to_numpy(zero_copy_only=False).tolist()
         other = np.flatnonzero(~plain)
         for k, c in zip(other.tolist(), chunks.take(pa.array(other)).to_pylist(), strict=True):
             words[k] = self._word(c)
