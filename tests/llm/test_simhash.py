@@ -1,5 +1,6 @@
 """SimHash near-dedup against brute force over all pairs."""
 
+import random
 import re
 
 import numpy as np
@@ -82,3 +83,36 @@ def test_thresholds_add_up():
 
 def test_empty_table(spark, write_docs):
     assert simhash.op3_simhash_near_dedup(spark, write_docs([])).collect() == []
+
+
+def test_alike_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    texts = ["", None, " \n", "one two", "One  two", "three"]
+    for _ in range(25):
+        base = words(rng.randint(60, 300))
+        texts += [" ".join(base)] * 2
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(1, 2)):
+                copy[rng.randrange(len(copy))] = words(1)[0]
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, _tidewarden_key string")
+    got = {r["node"]: r["root"] for r in simhash.alike(docs).collect()}
+    key = {t: r["k"] for t, r in zip(texts, docs.select(simhash.text_key().alias("k"), "doc_id").orderBy("doc_id").collect(), strict=True)}
+    sets = {t: set(np.concatenate([np.zeros(0, "<u8"), *simhash.shingles((t or "").encode(), 5)]).tolist()) for t in texts}
+    close = total = 0
+    for a in sets:
+        for b in sets:
+            both = sets[a] | sets[b]
+            if key[a] < key[b] and (not both or len(sets[a] & sets[b]) >= 0.8 * len(both)):
+                total += 1
+                close += got.get(key[a], key[a]) == got.get(key[b], key[b])
+    assert close >= 0.9 * total > 50
+    groups = {}
+    for t in sets:
+        groups.setdefault(got.get(key[t], key[t]), []).append(t)
+    for mine in groups.values():  # each has a partner in its group that is truly alike
+        for a in mine:
+            assert len(mine) == 1 or any(key[a] != key[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in mine)
+    assert simhash.alike(docs.limit(0)).collect() == []

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import common
@@ -33,22 +33,44 @@ BITS, SEED, WORDS, DISTANCE = 64, 42, 4, 4
 HOT, STEP_ROWS, PROBE_COST = 20_000, 200_000, 400
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of the word shingles (repeats included) of UTF-8 text, as a signed 64-bit integer."""
+def shingles(text: bytes, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles (repeats included) of UTF-8 text, some at a time; fewer words make one shingle."""
     w = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not w:
-        return 0
+        return
     s, digest = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= words:
-        return int(np.uint64(digest(s, SEED)).view(np.int64))
+        yield np.array([digest(s, SEED)], "<u8")
+        return
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n, total = len(w) - words + 1, np.zeros(BITS, np.int64)
-    a, b = starts[:n].tolist(), ends[words - 1 :].tolist()
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(s[x:y], SEED) for x, y in zip(a[at : at + (1 << 16)], b[at : at + (1 << 16)], strict=True)], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
+    a, b = starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist()
+    for at in range(0, len(a), 1 << 16):
+        yield np.array([digest(s[x:y], SEED) for x, y in zip(a[at : at + (1 << 16)], b[at : at + (1 << 16)], strict=True)], "<u8")
+
+
+def mixed(h: np.ndarray, table: int) -> np.ndarray:
+    """Hashes of another function for each table; table 0 has the hashes themselves."""
+    if not table:
+        return h
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * table)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def sketch(text: bytes, words: int = WORDS, tables: int = 1) -> list[int]:
+    """SimHashes of a text, one for each table, as signed 64-bit integers."""
+    total, n = np.zeros((tables, BITS), np.int64), 0
+    for h in shingles(text, words):
+        n += len(h)
+        for k in range(tables):
+            total[k] += np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """SimHash of the word shingles (repeats included) of UTF-8 text, as a signed 64-bit integer."""
+    return sketch(text, words)[0]
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -229,9 +251,12 @@ def forest(key: np.ndarray, fp: np.ndarray, side: np.ndarray, distance: int) ->
     return fp[u], fp[v]
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (u, v) between fingerprints within `distance`, enough to connect what any such links connect."""
-    spark, chosen = nodes.sparkSession, plan(nodes, distance)
+def links(nodes: DataFrame, distance: int = DISTANCE, chosen: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """Links (u, v) between fingerprints within `distance`, enough to connect what any such links connect.
+
+    chosen: a plan for this distance (plan() of nodes, if not given).
+    """
+    spark, chosen = nodes.sparkSession, chosen or plan(nodes, distance)
     rows = probes(nodes, chosen)
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / (HOT // 2)).cast("int").alias("blocks"))
     # Each sharer of a hot key meets every block: block b is compared within itself once and with each other block once.
@@ -280,6 +305,64 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return prints.join(final, "fp").select("doc_id", "fp", "component_id", "root")
 
 
+def text_key(text: str = "text") -> Column:
+    """What names a text; a null text is empty."""
+    return F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32)
+
+
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 8, tables: int = 4) -> DataFrame:
+    """(node, root): text_key() of each text that has a near-duplicate, and that of its group.
+
+    Texts within `distance` bits in any of `tables` SimHashes are candidates; those whose sets of word shingles have a
+    Jaccard similarity of `similarity` or more are linked, and groups are the components of links. Texts without
+    words are alike.
+    """
+    keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    columns = [f"fp{k}" for k in range(tables)]
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.steps(batches):
+            at, raw = common.value_offsets(b.column(1)), memoryview(b.column(1).buffers()[2] or b"")
+            fp = np.array([sketch(bytes(raw[x:y]), words, tables) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64).reshape(-1, tables)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["key", *columns])
+
+    prints = keyed.mapInArrow(sketches, "key string, " + ", ".join(f"{c} long" for c in columns))
+    nodes = common.written(prints.groupBy("key").agg(*(F.first(c).alias(c) for c in columns)), "sketches")
+    chosen, pairs = None, None
+    for c in columns:
+        # Texts of one fingerprint are compared with one of them, and those with each other along the links.
+        first = nodes.groupBy(F.col(c).alias("fp")).agg(F.min("key").alias("first"))
+        first = common.written(first, "fingerprints")
+        chosen = chosen or plan(first, distance)
+        found = links(first, distance, chosen).join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+        same = nodes.join(first.withColumnRenamed("fp", c), c).where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+        mine = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same)
+        pairs = mine if pairs is None else pairs.union(mine)
+    pairs = common.written(pairs.distinct(), "alike-pairs")
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.steps(batches):
+            held = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingles(t.encode(), words)])).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["key", "words"])
+
+    have = common.written(keyed.join(wanted, "key").mapInArrow(sets, "key string, words binary").dropDuplicates(["key"]), "shingles")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    sided = pairs.join(have.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(have.select(F.col("key").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
+    out = connected(sided.mapInArrow(near, "u string, v string"))
+    common.dropped(nodes, have)
+    return out
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
