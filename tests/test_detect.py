@@ -1,5 +1,6 @@
 """Detectors: positives and negatives, RE2 parity on awkward input, entities, globs."""
 
+import random
 import re
 
 import duckdb
@@ -102,3 +103,60 @@ def test_malformed_globs(bad):
 
 def test_pattern_list():
     assert patterns.pattern_list(" a:* ,, b ") == ("a:*", "b") and patterns.pattern_list(None) == ()
+
+
+def plain_glob(pattern, text):
+    """Path matching one character after the other; raises on a malformed pattern that it reaches the end of."""
+    if not pattern:
+        return not text
+    c = pattern[0]
+    if c == "*":
+        return any(plain_glob(pattern[1:], text[k:]) for k in range(len(text) + 1) if "/" not in text[:k])
+    if not text:
+        return False
+    if c == "?":
+        return text[0] != "/" and plain_glob(pattern[1:], text[1:])
+    if c == "[":
+        i, hit, negated = 1, False, pattern[1] == "^"
+        i += negated
+        first = i
+        while pattern[i] != "]" or i == first:
+            i += pattern[i] == "\\"
+            low = high = pattern[i]
+            i += 1
+            if pattern[i] == "-":
+                i += 1 + (pattern[i + 1] == "\\")
+                high = pattern[i]
+                i += 1
+            hit = hit or low <= text[0] <= high
+        return hit != negated and plain_glob(pattern[i + 1 :], text[1:])
+    if c == "\\":
+        pattern = pattern[1:]
+    return pattern[0] == text[0] and plain_glob(pattern[1:], text[1:])
+
+
+def test_random_globs_match_as_a_plain_matcher_does():
+    rng, checked = random.Random(9), 0
+    for _ in range(6000):
+        pattern = "".join(rng.choice("ab-]c[^*?/\\") for _ in range(rng.randint(1, 7)))
+        try:
+            regex = re.compile(patterns.glob(pattern).replace(r"\z", r"\Z"))
+        except ValueError:
+            continue
+        for _ in range(4):
+            text = "".join(rng.choice("abc-]/^") for _ in range(rng.randint(0, 4)))
+            assert bool(regex.match(text)) == plain_glob(pattern, text), (pattern, text)
+            checked += 1
+    assert checked > 3000
+
+
+@pytest.mark.parametrize("bad", ["[]a]", "[a-b-c]", "[", "[a", "[-a]", "[a-]", "a\\", "[]", "[^]", "[a\\"])
+def test_more_malformed_globs(bad):
+    with pytest.raises(ValueError):
+        patterns.pattern_list(bad)
+
+
+def test_falling_ranges_match_nothing(spark):
+    df = spark.createDataFrame([("b",), ("]",)], "k string")
+    hit = lambda p: [r[0] for r in df.select(F.rlike("k", F.lit(patterns.glob(p)))).collect()]
+    assert hit("[c-a]") == [False, False] and hit("[^c-a]") == [True, True] and hit("[\\]a]") == [False, True]

@@ -67,41 +67,50 @@ def _ends_word(before: str) -> bool:
     return bool(re.search(r"(?:\\d\{\d\}|\\d\\d\?\)|3\[01\]\)|\{4,30\}|\{32,\}|gpt\|bot\)|ignore|disregard)$", before))
 
 
+def _member(pattern: str, i: int) -> tuple[str, int]:
+    """A character of a class, escaped or not, and where the pattern goes on after it."""
+    if i < len(pattern) and pattern[i] not in "-]":
+        i += pattern[i] == "\\"
+        if i + 1 < len(pattern):  # what ends a pattern can't be in a class
+            return pattern[i], i + 1
+    raise ValueError(f"malformed pattern: {pattern}")
+
+
 def glob(pattern: str) -> str:
-    """An anchored regular expression of a path glob: * and ? stop at /, classes and escapes as in path matching."""
+    """An anchored regular expression of a path glob: * and ? stop at /, classes and escapes as in path matching.
+
+    A class is one or more characters and ranges; a range whose ends are in falling order matches nothing.
+    """
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
+        i += 1
         if c == "*":
             out.append("[^/]*")
         elif c == "?":
             out.append("[^/]")
         elif c == "[":
-            j = i + 1
-            negated = j < len(pattern) and pattern[j] == "^"
-            j += negated
-            body = []
-            while j < len(pattern) and (pattern[j] != "]" or not body):
-                if pattern[j] == "\\":
-                    j += 1
-                    if j >= len(pattern):
-                        raise ValueError(f"malformed pattern: {pattern}")
-                    body.append(re.escape(pattern[j]))
-                else:
-                    body.append("-" if pattern[j] == "-" else re.escape(pattern[j]))
-                j += 1
-            if j >= len(pattern) or not body or body[0] == "-" or body[-1] == "-":
-                raise ValueError(f"malformed pattern: {pattern}")
-            out.append("[" + "^" * negated + "".join(body) + "]")
-            i = j
-        elif c == "\\":
+            negated = pattern[i : i + 1] == "^"
+            i += negated
+            body, some = [], False
+            while not (some and pattern[i : i + 1] == "]"):
+                low, i = _member(pattern, i)
+                high = low
+                if pattern[i : i + 1] == "-":
+                    high, i = _member(pattern, i + 1)
+                some = True
+                if low <= high:
+                    body.append(f"{re.escape(low)}-{re.escape(high)}")
             i += 1
+            none, every = r"[^\s\S]", r"[\s\S]"
+            out.append(f"[{'^' * negated}{''.join(body)}]" if body else every if negated else none)
+        elif c == "\\":
             if i >= len(pattern):
                 raise ValueError(f"malformed pattern: {pattern}")
             out.append(re.escape(pattern[i]))
+            i += 1
         else:
             out.append(re.escape(c))
-        i += 1
     return r"\A(?s:" + "".join(out) + r")\z"
 
 

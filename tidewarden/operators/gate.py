@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions import detect, identity, patterns
 from tidewarden.functions.residue_text import baseline_hash
+from tidewarden.sources.shared import written
 
 PROTECTED_FLAG, IMMUTABLE_FLAG = "protected_key_violation", "immutable_mismatch"
 SIZE_FLAG, REPEAT_FLAG = "size_anomaly_suspected", "self_reinforcement_suspected"
@@ -148,5 +149,10 @@ def routed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stored_id", F.when(F.col("allow"), F.concat(F.lit("mem-"), F.substring(F.sha2(F.col("seq").cast("string").cast("binary"), 256), 1, 12))))
 
 
+def screened(log: DataFrame, policy: Policy) -> DataFrame:
+    """detected() as a written table: the later steps join their rows with summaries of the same rows, and detection runs once."""
+    return written(detected(log, policy), "detected")
+
+
 def validate_writes(log: DataFrame, policy: Policy) -> DataFrame:
-    return routed(inspected(keyed(detected(log, policy), policy), policy))
+    return routed(inspected(keyed(screened(log, policy), policy), policy))

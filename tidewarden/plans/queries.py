@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidewarden.functions import detect, identity, patterns
 from tidewarden.functions import residue_text as R
 from tidewarden.operators import audit, evaluate, gate, residue, store
+from tidewarden.sources import jsonl
+from tidewarden.sources.shared import folder, written
 from tidewarden.plans.write_log import IMMUTABLE, LOG_SQL, PROTECTED, RESERVED, spread, write_log
 
 POLICY = gate.Policy(PROTECTED, IMMUTABLE, RESERVED)
 #: Deletes are documents with doc_id modulo DELETE_EVERY of DELETE_AT; reads are READS.
-DELETE_EVERY, DELETE_AT = 499, 26
+DELETE_EVERY, DELETE_AT = 100, 0
 READS = (
     (1, "spiffe://t/alpha", "attested", "the"),
     (2, "spiffe://t/beta", " attested ", "<EMAIL>"),
@@ -37,7 +39,7 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _redacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of writes that pass detection and key policy, without the rolling flags, which don't decide routing."""
-    rows = gate.keyed(gate.detected(write_log(spark, sf_dir), POLICY), POLICY)
+    rows = gate.keyed(gate.screened(write_log(spark, sf_dir), POLICY), POLICY)
     none = F.lit(None).cast("string")
     return store.entries(gate.routed(rows.withColumn("size_flag", none).withColumn("repeat_flag", none)))
 
@@ -78,7 +80,7 @@ def source_class(spark, sf_dir):
 
 
 def key_policy(spark, sf_dir):
-    rows = gate.keyed(gate.detected(write_log(spark, sf_dir), POLICY), POLICY)
+    rows = gate.keyed(gate.screened(write_log(spark, sf_dir), POLICY), POLICY)
     return rows.select("seq", "key_flag_1", "key_flag_2", "key_rejected")
 
 
@@ -151,9 +153,8 @@ def _residue_parts(spark, sf_dir):
 
 def residue_verbatim(spark, sf_dir):
     deleted, left = _residue_parts(spark, sf_dir)
-    d = deleted.select("del_seq", identity.trimmed(F.col("content")).alias("deleted")).withColumn("strong", F.filter(R.distinctive(F.col("deleted")), R.strong))
-    pairs = left.join(d).withColumn("fragment", residue.verbatim(F.col("deleted"), F.col("strong"), F.col("content")))
-    return pairs.where("fragment != ''").groupBy("del_seq").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("fragment")).cast("long").alias("longest"))
+    pairs = residue.matches(deleted, left, phrases=False).where("class = 'verbatim'")
+    return pairs.groupBy("del_seq").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("fragment")).cast("long").alias("longest"))
 
 
 def residue_tokens(spark, sf_dir):
@@ -162,10 +163,57 @@ def residue_tokens(spark, sf_dir):
 
 
 def residue_scan(spark, sf_dir):
-    s = _redacted_store(spark, sf_dir)
+    s = written(_redacted_store(spark, sf_dir).select("seq", "id", "content"), "store")
     return residue.verify_deletes(s, _deletes(s))
 
 
+def store_get(spark, sf_dir):
+    s = _redacted_store(spark, sf_dir).select("id", "bound_identity")
+    wanted = s.where(F.substring("id", 5, 1) < "4").select("id").union(spark.createDataFrame([("mem-none",)], "id string"))
+    return store.get(s, wanted).select("id", "found", "bound_identity")
+
+
+def store_scan(spark, sf_dir):
+    return store.scan(_redacted_store(spark, sf_dir), "number").select("seq", "quarantined")
+
+
+def store_copies(spark, sf_dir):
+    """Entries of the primary index and of an archive of some of them, by index."""
+    s = _redacted_store(spark, sf_dir).select("seq", "content")
+    copies = store.by_index(s, {"archive": s.where("seq % 4 = 1")})
+    return copies.groupBy("index_name").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+
+
+def entries_round_trip(spark, sf_dir):
+    """Entries written as JSON lines and read back."""
+    path = folder(spark, "entries")
+    jsonl.write_entries(_redacted_store(spark, sf_dir), path)
+    back = jsonl.read_entries(spark, path)
+    return back.select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "bound_identity", F.coalesce("source_class", F.lit("")).alias("source_class"), _flags(), F.size("flags").alias("n_flags"), "quarantined")
+
+
+def flag_counts(spark, sf_dir):
+    """Flags of each write as an array, which is empty and not null where there are none."""
+    return _writes(spark, sf_dir).select("seq", F.size("flags").alias("n"), F.col("flags").isNull().alias("missing"))
+
+
+def _delete_events(spark, sf_dir):
+    s = _redacted_store(spark, sf_dir)
+    gone = s.where(F.col("seq") % 10 == 3)
+    found = F.contains("content", F.lit("number"))  # stands for a residue verdict; residue_scan has the real one
+    return audit.delete_events(gone.select(F.col("seq").alias("del_seq"), (F.col("seq") + 5).alias("secs"), R.deletion_hash(F.col("id"), F.col("content")).alias("deletion_hash"), found.alias("residue_detected")))
+
+
+def audit_deletes(spark, sf_dir):
+    f = F.col("finding")
+    return _delete_events(spark, sf_dir).select("seq", "class_uid", "severity_id", "time", f["type"].alias("type"), f["operation"].alias("operation"), F.array_join(f["flags"], ",").alias("flags"), f["flag_count"].alias("flag_count"), f["deletion_hash"].alias("deletion_hash"), f["residue_detected"].alias("residue_detected"))
+
+
+def audit_deletes_wire(spark, sf_dir):
+    c = F.col("context")
+    return audit.wire(_delete_events(spark, sf_dir)).select("seq", "ts", "action", "target", "decision", F.col("refs")[0]["id"].alias("ref_id"), c["finding_type"].alias("finding_type"), c["residue_detected"].alias("residue_detected"))
+
+
 def _events(spark, sf_dir):
     return audit.write_events(_writes(spark, sf_dir))
 
@@ -192,7 +240,7 @@ def gate_by_probe(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pii_redact, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, residue_verbatim, residue_tokens, residue_scan, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
+    for f in (pii_redact, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
 }
 
 
@@ -256,7 +304,7 @@ gated AS (SELECT *, CASE WHEN injection OR key_rejected THEN 'block' WHEN border
   CASE WHEN NOT injection AND NOT key_rejected THEN concat('mem-', substr(sha256(seq::VARCHAR), 1, 12)) END AS stored_id
   FROM keyed LEFT JOIN odd USING (seq) LEFT JOIN again USING (seq))"""
 _STORE = f"""{_KEYED},
-store AS (SELECT seq, concat('mem-', substr(sha256(seq::VARCHAR), 1, 12)) AS id, redacted AS content, bound_key AS bound_identity, borderline AS quarantined,
+store AS (SELECT seq, concat('mem-', substr(sha256(seq::VARCHAR), 1, 12)) AS id, redacted AS content, bound_key AS bound_identity, source_class, borderline AS quarantined,
   list_filter(list_concat(pii_flags, [CASE WHEN borderline THEN 'borderline_suspected' END, key_flag_1, key_flag_2]), lambda f: f IS NOT NULL) AS flags FROM keyed WHERE NOT injection AND NOT key_rejected)"""
 _TOKENS = "list_filter(list_transform(list_filter(string_split(lower(regexp_replace(content, '[^\\w$%.]+', ' ', 'g')), ' '), lambda t: t <> ''), lambda t: trim(t, '.$%')), lambda t: (strlen(t) >= 3 OR regexp_matches(t, '^[0-9]+$')) AND t NOT IN (" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "))"
 _READS_SQL = "reads AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {repr(s) if s is not None else 'NULL'}, {repr(t) if t is not None else 'NULL'}, '{q}')" for i, s, t, q in READS) + ") v(read_id, spiffe_id, trust_tier, query))"
@@ -293,6 +341,13 @@ held AS (SELECT w.id, s.id IS NOT NULL AS found, coalesce(s.content, '') AS cont
 pairs AS (SELECT del_seq, CASE WHEN contains(content, deleted) THEN strlen(deleted) ELSE list_max(list_transform(list_filter(strong, lambda t: contains(content, t)), lambda t: strlen(t))) END AS n FROM d, store WHERE seq % {DELETE_EVERY} <> {DELETE_AT})
 SELECT del_seq, count(*) AS n, max(n)::BIGINT AS longest FROM pairs WHERE n > 0 GROUP BY del_seq""",
     "residue_tokens": f"WITH {_STORE} SELECT seq, array_to_string({_TOKENS}, ' ') AS tokens FROM store",
+    "store_get": f"WITH {_STORE}, wanted AS (SELECT id FROM store WHERE substr(id, 5, 1) < '4' UNION ALL SELECT 'mem-none') SELECT w.id, s.id IS NOT NULL AS found, s.bound_identity FROM wanted w LEFT JOIN store s USING (id)",
+    "store_scan": f"WITH {_STORE} SELECT seq, quarantined FROM store WHERE contains(content, 'number')",
+    "store_copies": f"WITH {_STORE}, copies AS (SELECT 'primary' AS index_name, * FROM store UNION ALL SELECT 'archive', * FROM store WHERE seq % 4 = 1) SELECT index_name, count(*) AS n, sum(seq)::BIGINT AS seqs, sum(strlen(content))::BIGINT AS bytes FROM copies GROUP BY index_name",
+    "entries_round_trip": f"WITH {_STORE} SELECT id, md5(content) AS content_md5, bound_identity, source_class, array_to_string(flags, ',') AS flags, len(flags)::INTEGER AS n_flags, quarantined FROM store",
+    "flag_counts": f"WITH {_GATED} SELECT seq, len(flags)::INTEGER AS n, flags IS NULL AS missing FROM gated",
+    "audit_deletes": f"WITH {_STORE} SELECT seq, 2001 AS class_uid, CASE WHEN contains(content, 'number') THEN 3 ELSE 1 END AS severity_id, seq + 5 AS time, CASE WHEN contains(content, 'number') THEN 'residue_found' ELSE 'deletion_verified' END AS type, 'verify_delete' AS operation, CASE WHEN contains(content, 'number') THEN 'residue_detected' ELSE '' END AS flags, contains(content, 'number')::INTEGER AS flag_count, sha256(concat('delete', chr(0), id, chr(0), content)) AS deletion_hash, contains(content, 'number') AS residue_detected FROM store WHERE seq % 10 = 3",
+    "audit_deletes_wire": f"WITH {_STORE} SELECT seq, seq + 5 AS ts, 'verify_delete' AS action, 'memory-store' AS target, NULL::VARCHAR AS decision, sha256(concat('delete', chr(0), id, chr(0), content)) AS ref_id, CASE WHEN contains(content, 'number') THEN 'residue_found' ELSE 'deletion_verified' END AS finding_type, contains(content, 'number')::INTEGER AS residue_detected FROM store WHERE seq % 10 = 3",
     "audit_events": f"WITH {_EVENTS_SQL} SELECT seq, 2001 AS class_uid, CASE WHEN injection THEN 4 ELSE 2 END AS severity_id, secs AS time, CASE WHEN injection THEN 'injection_rejected' ELSE 'pii_redaction' END AS type, array_to_string(eflags, ',') AS flags, len(eflags)::INTEGER AS flag_count, stored_id, source_class FROM ev",
     "audit_wire": f"WITH {_EVENTS_SQL} SELECT seq, secs AS ts, 'validate_write' AS action, coalesce(stored_id, 'memory-store') AS target, CASE WHEN injection THEN 'deny' ELSE 'allow' END AS decision, CASE WHEN injection THEN 'injection_rejected' ELSE 'pii_redaction' END AS finding_type, array_to_string(eflags, ',') AS flags, len(eflags)::INTEGER AS flag_count FROM ev",
     "gate_recall_precision": f"WITH {_DETECTED}, r AS (SELECT seq % 97 BETWEEN 9 AND 18 AS poison, injection AS rejected FROM det) SELECT count(*) FILTER (poison) AS poison, count(*) FILTER (poison AND rejected) AS rejected_poison, count(*) FILTER (rejected) AS rejected, count(*) FILTER (poison AND rejected) / count(*) FILTER (poison) AS recall, CASE WHEN count(*) FILTER (rejected) = 0 THEN 1.0 ELSE count(*) FILTER (poison AND rejected) / count(*) FILTER (rejected) END AS precision FROM r",
