@@ -80,6 +80,42 @@ def test_urls_and_reputation_equal_sql(spark, write_docs):
     assert verdicts == {"bad0": {"allow"}, "bad1": {"block"}}
 
 
+SITES = [
+    ("a.b.com", "a.b.com", "com", "b.com"),
+    ("a.b.com:8080", "a.b.com", "com", "b.com"),
+    ("me:x@a.b.com:", "a.b.com", "com", "b.com"),
+    ("a.b.com.", "a.b.com", "com", "b.com"),
+    ("a.b.co.uk", "a.b.co.uk", "co.uk", "b.co.uk"),
+    ("x.gob.mx:1", "x.gob.mx", "gob.mx", "x.gob.mx"),
+    ("co.uk", "co.uk", "co.uk", "co.uk"),
+    ("taco.uk", "taco.uk", "uk", "taco.uk"),
+    ("a.co.com", "a.co.com", "com", "co.com"),
+    ("10.0.0.7:80", "10.0.0.7", "#address", "10.0.0.7"),
+    ("[::1]:80", "[::1]", "#address", "[::1]"),
+    ("1.2.3.com", "1.2.3.com", "com", "3.com"),
+    ("localhost", "localhost", "localhost", "localhost"),
+    ("", "", "", ""),
+]
+
+
+def test_sites_of_hosts(spark):
+    df = spark.createDataFrame([(h,) for h, *_ in SITES], "host string").withColumn("site", url_filter.site_of(F.col("host")))
+    got = df.select("host", "site", url_filter.suffix_of(F.col("site")), url_filter.domain_of(F.col("site"))).collect()
+    assert [tuple(r) for r in got] == SITES
+
+
+def test_ports_share_a_reputation_and_addresses_do_not(spark, write_docs):
+    hosts = [f"http://bad.org:{k}/" for k in range(40)] + ["http://10.0.0.7/"] * 40 + ["http://11.0.0.7/"] * 40 + [f"http://s{k}.fine.co.uk/" for k in range(40)]
+    pages = [(i, u, "") for i, u in enumerate(hosts)] + [(900, "http://bad.org./new", ""), (901, "http://me@10.0.0.7:81/", ""), (902, "http://11.0.0.7:9/", "")]
+    labels = [(i, int(not ("bad" in u or "10.0" in u)), 0) for i, u in enumerate(hosts)]
+    folder = write_docs([], pages=(pages, PAGES), labels=(labels, LABELS))
+    out = url_filter.op10_url_filter(spark, folder)
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    assert rows_of(out, *columns) == on_duckdb(url_filter.OP10_SQL, folder, "pages", "labels")
+    got = {r["page_id"]: r["verdict"] for r in out.collect()}
+    assert (got[0], got[900], got[901], got[902], got[130]) == ("block", "block", "block", "allow", "allow")
+
+
 def test_no_pages_and_no_labels(spark, write_docs):
     folder = write_docs([], pages=([], PAGES), labels=([], LABELS))
     assert url_filter.op10_url_filter(spark, folder).collect() == []
