@@ -210,3 +210,21 @@ def test_recall_precision(spark):
     assert (r["recall"], r["precision"]) == (0.5, 0.5)
     (r,) = evaluate.recall_precision(df.where("NOT rejected")).collect()
     assert (r["recall"], r["precision"]) == (0.0, 1.0)
+
+
+def test_whole_stream_equals_batch_over_a_restart(spark, tmp_path):
+    from tidewarden.streaming import guard
+
+    policy = gate.Policy(("config:*",), ("base:*",), "guard:")
+    keys = [{"key": "guard:x", "content": "B"}, {"key": "guard:x", "content": "C"}, {"key": "guard:x", "content": "D", "trust_tier": "self"}, {"key": "base:m", "content": "system prompt"}, {"key": "base:m", "content": "one"}, {"key": "base:m", "content": "two a@b.co"}, {"key": "config:a", "trust_tier": "self"}]
+    # Rejected writes leave no sizes behind; nulls are empty.
+    sizes = [{"content": "z" * n} for n in SIZES] + [{"content": "system prompt " + "y" * 5000}, {"content": "w" * 900}, {"content": None, "key": None}]
+    rows = REPEATS + keys + sizes + keys + sizes
+    writes = log(spark, [{**r, "secs": i} for i, r in enumerate(rows)])
+    columns = ("seq", "state", "flags", "stored_id", "redacted")
+    want = sorted(gate.validate_writes(writes, policy).select(*columns).collect())
+    out = guard.replayed(spark, [writes.where("seq < 20"), writes.where("seq >= 20"), writes.where("false")], policy, f"file://{tmp_path}")
+    assert sorted(spark.read.parquet(f"{out}/verdicts").select(*columns).collect()) == want
+    assert {f for r in want for f in r["flags"]} >= {"protected_key_violation", "immutable_mismatch", "size_anomaly_suspected", "self_reinforcement_suspected", "injection_suspected"}
+    events = spark.read.parquet(f"{out}/audit").select("seq").collect()
+    assert sorted(r["seq"] for r in events) == sorted(r["seq"] for r in want if "injection_suspected" in r["flags"] or (r["state"] != "block" and any(f.startswith("pii:") for f in r["flags"])))

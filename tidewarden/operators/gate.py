@@ -102,23 +102,32 @@ def _any(globs: tuple[str, ...], key: Column) -> Column:
     return out
 
 
-def keyed(rows: DataFrame, policy: Policy) -> DataFrame:
-    """key_flag_1, key_flag_2 and key_rejected. Baselines are those of rows that passed detection."""
+def key_marks(rows: DataFrame, policy: Policy) -> DataFrame:
+    """_reserved, _violates and _pinned: what the key alone decides, and whether the row pins or is compared with a baseline."""
     key = F.coalesce(F.col("key"), F.lit(""))
     named = key != ""
     reserved = named & F.startswith(key, F.lit(policy.reserved))
     rows = rows.withColumn("_reserved", reserved)
     rows = rows.withColumn("_violates", named & (reserved | _any(policy.protected, key)) & ~F.col("is_attested"))
-    rows = rows.withColumn("_pinned", named & (reserved | _any(policy.immutable, key)) & ~F.col("injection") & ~(reserved & F.col("_violates")))
-    # Only rows that pin or are compared need their key's first row: the window is over those, not over the log.
-    pinned = rows.where("_pinned").select("seq", key.alias("key"), baseline_hash(F.col("redacted")).alias("h"))
-    first = pinned.groupBy("key").agg(F.min(F.struct("seq", "h")).alias("first")).select("key", F.col("first.h").alias("baseline"))
-    rows = rows.join(first, "key", "left")
-    differs = F.col("_pinned") & (baseline_hash(F.col("redacted")) != F.col("baseline"))
+    return rows.withColumn("_pinned", named & (reserved | _any(policy.immutable, key)) & ~F.col("injection") & ~(reserved & F.col("_violates")))
+
+
+def key_flags(rows: DataFrame, differs: Column) -> DataFrame:
+    """key_flag_1, key_flag_2 and key_rejected of rows with key_marks(); differs: from the key's baseline (null: not compared)."""
     flag_1 = F.when(F.col("_violates"), PROTECTED_FLAG)
     flag_2 = F.when(differs, IMMUTABLE_FLAG)
     live = ~F.col("injection")
-    return rows.withColumn("key_flag_1", F.when(live, flag_1)).withColumn("key_flag_2", F.when(live, flag_2)).withColumn("key_rejected", live & F.col("_reserved") & (F.col("_violates") | F.coalesce(differs, F.lit(False)))).drop("_reserved", "_violates", "_pinned", "baseline")
+    return rows.withColumn("key_flag_1", F.when(live, flag_1)).withColumn("key_flag_2", F.when(live, flag_2)).withColumn("key_rejected", live & F.col("_reserved") & (F.col("_violates") | F.coalesce(differs, F.lit(False)))).drop("_reserved", "_violates", "_pinned")
+
+
+def keyed(rows: DataFrame, policy: Policy) -> DataFrame:
+    """key_flag_1, key_flag_2 and key_rejected. Baselines are those of rows that passed detection."""
+    rows = key_marks(rows, policy)
+    # Only rows that pin or are compared need their key's first row: the window is over those, not over the log.
+    pinned = rows.where("_pinned").select("seq", F.coalesce(F.col("key"), F.lit("")).alias("key"), baseline_hash(F.col("redacted")).alias("h"))
+    first = pinned.groupBy("key").agg(F.min(F.struct("seq", "h")).alias("first")).select("key", F.col("first.h").alias("baseline"))
+    rows = rows.join(first, "key", "left")
+    return key_flags(rows, F.col("_pinned") & (baseline_hash(F.col("redacted")) != F.col("baseline"))).drop("baseline")
 
 
 def inspected(rows: DataFrame, policy: Policy) -> DataFrame:

@@ -10,6 +10,7 @@ from tidewarden.functions import residue_text as R
 from tidewarden.operators import audit, evaluate, gate, residue, store
 from tidewarden.sources import jsonl
 from tidewarden.sources.shared import folder, written
+from tidewarden.streaming import guard
 from tidewarden.plans.write_log import IMMUTABLE, LOG_SQL, PROTECTED, RESERVED, spread, write_log
 
 POLICY = gate.Policy(PROTECTED, IMMUTABLE, RESERVED)
@@ -96,6 +97,24 @@ def gate_state(spark, sf_dir):
     return _writes(spark, sf_dir).select("seq", "state", "allow", "stored_id", _flags())
 
 
+def _streamed(spark, sf_dir) -> str:
+    """The log screened as a stream, in two lots with a restart between them; the folder of verdicts and audit events."""
+    log = write_log(spark, sf_dir)
+    middle = F.lit(log.agg(F.avg("seq")).first()[0])
+    return guard.replayed(spark, [log.where(F.col("seq") < middle), log.where(F.col("seq") >= middle)], POLICY, folder(spark, "gate-stream"))
+
+
+def gate_stream(spark, sf_dir):
+    """The same verdicts as gate_state, from the stream."""
+    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/verdicts").select("seq", "state", "allow", "stored_id", _flags())
+
+
+def audit_stream(spark, sf_dir):
+    """The same events as audit_events, from the stream's side output."""
+    f = F.col("finding")
+    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/audit").select("seq", "class_uid", "severity_id", "time", f["type"].alias("type"), F.array_join(f["flags"], ",").alias("flags"), f["flag_count"].alias("flag_count"), f["stored_id"].alias("stored_id"), f["source_class"].alias("source_class"))
+
+
 def entries_latest(spark, sf_dir):
     puts = _redacted_store(spark, sf_dir).withColumn("id", F.concat(F.lit("slot-"), (F.col("seq") % 50).cast("string")))
     return store.latest(puts).select("id", "seq", "bound_identity", "content")
@@ -240,7 +259,7 @@ def gate_by_probe(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pii_redact, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
+    for f in (pii_redact, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
 }
 
 
@@ -350,6 +369,8 @@ SELECT del_seq, count(*) AS n, max(n)::BIGINT AS longest FROM pairs WHERE n > 0
     "audit_deletes_wire": f"WITH {_STORE} SELECT seq, seq + 5 AS ts, 'verify_delete' AS action, 'memory-store' AS target, NULL::VARCHAR AS decision, sha256(concat('delete', chr(0), id, chr(0), content)) AS ref_id, CASE WHEN contains(content, 'number') THEN 'residue_found' ELSE 'deletion_verified' END AS finding_type, contains(content, 'number')::INTEGER AS residue_detected FROM store WHERE seq % 10 = 3",
     "audit_events": f"WITH {_EVENTS_SQL} SELECT seq, 2001 AS class_uid, CASE WHEN injection THEN 4 ELSE 2 END AS severity_id, secs AS time, CASE WHEN injection THEN 'injection_rejected' ELSE 'pii_redaction' END AS type, array_to_string(eflags, ',') AS flags, len(eflags)::INTEGER AS flag_count, stored_id, source_class FROM ev",
     "audit_wire": f"WITH {_EVENTS_SQL} SELECT seq, secs AS ts, 'validate_write' AS action, coalesce(stored_id, 'memory-store') AS target, CASE WHEN injection THEN 'deny' ELSE 'allow' END AS decision, CASE WHEN injection THEN 'injection_rejected' ELSE 'pii_redaction' END AS finding_type, array_to_string(eflags, ',') AS flags, len(eflags)::INTEGER AS flag_count FROM ev",
+    "gate_stream": f"WITH {_GATED} SELECT seq, state, state <> 'block' AS allow, stored_id, array_to_string(flags, ',') AS flags FROM gated",
+    "audit_stream": f"WITH {_EVENTS_SQL} SELECT seq, 2001 AS class_uid, CASE WHEN injection THEN 4 ELSE 2 END AS severity_id, secs AS time, CASE WHEN injection THEN 'injection_rejected' ELSE 'pii_redaction' END AS type, array_to_string(eflags, ',') AS flags, len(eflags)::INTEGER AS flag_count, stored_id, source_class FROM ev",
     "gate_recall_precision": f"WITH {_DETECTED}, r AS (SELECT seq % 97 BETWEEN 9 AND 18 AS poison, injection AS rejected FROM det) SELECT count(*) FILTER (poison) AS poison, count(*) FILTER (poison AND rejected) AS rejected_poison, count(*) FILTER (rejected) AS rejected, count(*) FILTER (poison AND rejected) / count(*) FILTER (poison) AS recall, CASE WHEN count(*) FILTER (rejected) = 0 THEN 1.0 ELSE count(*) FILTER (poison AND rejected) / count(*) FILTER (rejected) END AS precision FROM r",
     "gate_by_probe": f"WITH {_DETECTED} SELECT seq % 97 AS class, count(*) AS n, sum(injection::INT)::BIGINT AS rejected FROM det GROUP BY ALL",
 }
