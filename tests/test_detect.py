@@ -160,3 +160,25 @@ def test_falling_ranges_match_nothing(spark):
     df = spark.createDataFrame([("b",), ("]",)], "k string")
     hit = lambda p: [r[0] for r in df.select(F.rlike("k", F.lit(patterns.glob(p)))).collect()]
     assert hit("[c-a]") == [False, False] and hit("[^c-a]") == [True, True] and hit("[\\]a]") == [False, True]
+
+
+def test_recognizer_falls_back(spark):
+    def names():
+        def find(text):
+            if "boom" in text:
+                raise RuntimeError
+            at = text.encode().find(b"Ada")
+            return [("PERSON", at, at + 3, 0.9)] if at >= 0 else []
+
+        return find
+
+    def missing():
+        raise ImportError
+
+    df = spark.createDataFrame([(1, "\u00e9 Ada a@b.co"), (2, "boom Ada a@b.co"), (3, None), (4, "")], "i int, text string")
+    rows = detect.detector("presidio", recognizer=names).redact(df, "text").orderBy("i").collect()
+    assert [r["redacted"] for r in rows] == ["\u00e9 <PERSON> <EMAIL>", "boom Ada <EMAIL>", "", ""]
+    assert [r["pii_flags"] for r in rows] == [["pii:EMAIL", "pii:PERSON"], ["pii:EMAIL"], [], []]
+    assert rows[0].asDict().keys() == {"i", "text", "redacted", "pii_flags"}
+    plain = detect.detector("presidio", recognizer=missing).redact(df, "text").orderBy("i").collect()
+    assert [r["redacted"] for r in plain] == [r["redacted"] for r in detect.detector().redact(df, "text").orderBy("i").collect()]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,14 +84,45 @@ def with_entities(df: DataFrame, text: str, entities: str, redacted: str = "reda
     return done.withColumn(redacted, F.when(none, F.col(redacted)).otherwise(F.col("_done.text"))).withColumn(flags, F.when(none, F.col(flags)).otherwise(F.array_sort("_done.flags"))).drop("_done")
 
 
+def recognized(df: DataFrame, text: str, factory: Callable[[], Callable[[str], list[tuple[str, int, int, float]]]], out: str = "entities") -> DataFrame:
+    """df with the entities that a recognizer finds in each text (null: empty).
+
+    factory() makes the recognizer once in each task; it gives type, start and end in UTF-8 bytes, and score of each
+    entity. Where the factory or a text's recognition fails, the entities are null, so the native result stands.
+    """
+    entity = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    names = [f.name for f in entity.value_type]
+
+    @F.arrow_udf(ENTITIES)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            recognize = factory()
+        except Exception:  # no model here: all texts fall back
+            recognize = None
+        for texts in batches:
+            rows = []
+            for t in texts.to_pylist():
+                try:
+                    rows.append([dict(zip(names, e, strict=True)) for e in recognize(t)] if recognize else None)
+                except Exception:  # this text falls back
+                    rows.append(None)
+            yield pa.array(rows, entity)
+
+    return df.withColumn(out, found(F.coalesce(F.col(text), F.lit(""))))
+
+
 @dataclass(frozen=True)
 class Detector:
-    """Redaction, injection and borderline detection; entities names a column of recognized entities, if any."""
+    """Redaction, injection and borderline detection; entities names a column of recognized entities, recognizer makes them (see recognized())."""
 
     entities: str | None = None
+    recognizer: Callable | None = None
 
     def redact(self, df: DataFrame, text: str, out: str = "redacted", flags: str = "pii_flags") -> DataFrame:
         df = with_redaction(df, text, out, flags)
+        if self.recognizer:
+            made = "_tidewarden_entities"
+            return with_entities(recognized(df, text, self.recognizer, made), text, made, out, flags).drop(made)
         return with_entities(df, text, self.entities, out, flags) if self.entities else df
 
     def detect_injection(self, text: Column) -> Column:
@@ -99,10 +132,10 @@ class Detector:
         return borderline(text)
 
 
-def detector(kind: str | None = "", entities: str | None = None) -> Detector:
-    """The detector of a configured kind: '', native or regex; presidio takes a column of entities."""
+def detector(kind: str | None = "", entities: str | None = None, recognizer: Callable | None = None) -> Detector:
+    """The detector of a configured kind: '', native or regex; presidio takes a recognizer, or else a column of entities."""
     if kind in (None, "", "native", "regex"):
         return Detector()
     if kind == "presidio":
-        return Detector(entities or "entities")
+        return Detector(recognizer=recognizer) if recognizer else Detector(entities or "entities")
     raise ValueError(f"unknown detector: {kind}")

@@ -53,6 +53,26 @@ def pii_redact(spark, sf_dir):
     return detect.with_redaction(_docs(spark, sf_dir), "text").select("doc_id", "redacted", _flags("pii_flags"))
 
 
+def _names():
+    """A recognizer of one name; it fails on texts that hold an address, as a model may."""
+
+    def find(text: str) -> list[tuple[str, int, int, float]]:
+        if "@" in text:
+            raise ValueError("not recognized")
+        raw, out, at = text.encode(), [], -1
+        while (at := raw.find(b"Nightingale", at + 1)) >= 0:
+            out.append(("PERSON", at, at + 11, 0.85))
+        return [*out, ("PERSON", 0, 1, 0.2), ("ZODIAC", 0, 4, 0.9)]  # too weak, and of no kind that is redacted
+
+    return find
+
+
+def entity_overlay(spark, sf_dir):
+    """Native redaction with a recognizer's entities laid over it."""
+    rows = detect.Detector(recognizer=_names).redact(write_log(spark, sf_dir), "content")
+    return rows.select("seq", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"), _flags("pii_flags"))
+
+
 def pii_label_counts(spark, sf_dir):
     rows = detect.with_redaction(write_log(spark, sf_dir), "content")
     return rows.select(F.explode("pii_flags").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -259,7 +279,7 @@ def gate_by_probe(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pii_redact, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
+    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
 }
 
 
@@ -333,6 +353,8 @@ ev AS (SELECT seq, secs, injection, CASE WHEN injection THEN flags ELSE pii_flag
 
 ORACLE_SQL = {
     "pii_redact": f"WITH {_chain('documents', 'doc_id', 'text', 'red')} SELECT doc_id, redacted, array_to_string(pii_flags, ',') AS pii_flags FROM red",
+    "entity_overlay": f"""WITH {LOG_SQL}, {_chain('log', 'seq, content', 'content', 'red')}, laid AS (SELECT *, contains(content, '@') AS failed, contains(content, 'Nightingale') AND contains(redacted, 'Nightingale') AS named FROM red)
+SELECT seq, md5(CASE WHEN failed THEN redacted ELSE replace(redacted, 'Nightingale', '<PERSON>') END) AS redacted_md5, array_to_string(CASE WHEN failed THEN pii_flags WHEN named THEN list_sort(list_append(pii_flags, 'pii:PERSON')) ELSE list_sort(pii_flags) END, ',') AS pii_flags FROM laid""",
     "pii_label_counts": f"WITH {LOG_SQL}, {_chain('log', 'seq', 'content', 'red')} SELECT label, count(*) AS n FROM (SELECT unnest(pii_flags) AS label FROM red) GROUP BY label",
     "injection_literal": f"WITH {LOG_SQL} SELECT seq, {_inj('content')} AS injection FROM log",
     "injection_decoded": f"WITH {LOG_SQL}, {_SCANNED}, {_INJECTED} SELECT seq, injection FROM injected",
