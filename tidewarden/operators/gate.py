@@ -58,11 +58,12 @@ class SelfReinforcement:
     def flag(self, key: str, order: str, at: str, tokens: str, counts: str) -> Column:
         """counts: whether a row is agent-authored; others neither count nor are judged.
 
-        The frame is the cooldown, so a row gathers what is recent and not a fixed number of word sets.
+        The frame is the last `history` rows, so that a busy key's rows gather no more, and what is older than the cooldown
+        is left out of it; `at` doesn't fall with `order`.
         """
-        w = Window.partitionBy(key, counts).orderBy(at).rangeBetween(1 - self.cooldown, 0)
-        recent = F.filter(F.collect_list(F.struct(F.col(order).alias("order"), F.col(tokens).alias("tokens"))).over(w), lambda p: p["order"] < F.col(order))
-        past = F.slice(F.sort_array(recent, asc=False), 1, self.history)
+        w = Window.partitionBy(key, counts).orderBy(order).rowsBetween(-self.history, -1)
+        recent = F.collect_list(F.struct(F.col(at).alias("at"), F.col(tokens).alias("tokens"))).over(w)
+        past = F.filter(recent, lambda p: (p["at"] <= F.col(at)) & (F.col(at) - p["at"] < self.cooldown))
 
         def near(p: Column) -> Column:
             both, small = F.size(F.array_intersect(p["tokens"], F.col(tokens))), F.least(F.size(p["tokens"]), F.size(F.col(tokens)))

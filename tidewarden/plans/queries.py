@@ -303,8 +303,8 @@ def _inj(text: str) -> str:
     return "(" + " OR ".join(f"regexp_matches({text}, '{_q(p)}')" for p in patterns.INJECTION) + ")"
 
 
-# The log is UTF-8 with ASCII probes at the end, so the first bytes are cut by code points only where none is cut.
-_SCAN = f"CASE WHEN strlen(content) <= {patterns.DECODE_BYTES} THEN content ELSE decode(encode(content)[1:{patterns.DECODE_BYTES}]) END"
+# A cut may split a character; what is left of it matches nothing on either side.
+_SCAN = f"CASE WHEN strlen(content) <= {patterns.DECODE_BYTES} THEN content ELSE decode(encode(content)[1:{patterns.DECODE_BYTES}], 'replace') END"
 _URL = "CASE WHEN contains(scan, '%') AND NOT regexp_matches(scan, '%(?:$|[^0-9A-Fa-f]|[0-9A-Fa-f](?:$|[^0-9A-Fa-f]))') THEN TRY(url_decode(replace(scan, '+', ' '))) END"
 _RUNS = f"list_filter(list_transform(list_slice(regexp_extract_all(scan, '{patterns.BASE64_RUN}'), 1, {patterns.DECODE_RUNS}), lambda r: CASE WHEN length(r) % 4 = 0 THEN TRY(decode(TRY(from_base64(r)))) END), lambda x: x IS NOT NULL)"
 _TRIM = r"regexp_replace({0}, '^[\t\n\x0B\f\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\t\n\x0B\f\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
