@@ -1,0 +1,93 @@
+"""The manifest against a plain tree, and against its SQL."""
+
+import hashlib
+import random
+import zlib
+
+import duckdb
+import pytest
+
+from tidewarden.llm import merkle as M
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def counted(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def climb(nodes):
+    """Levels of nodes up to the one that remains."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([H(*levels[-1][i : i + 3]) for i in range(0, len(levels[-1]), 3)])
+    return levels
+
+
+def sides(levels, i):
+    for level in levels[:-1]:
+        run = i - i % 3
+        yield level[run:i], level[i + 1 : run + 3]
+        i //= 3
+
+
+def plain(rows):
+    trees = {}
+    for doc_id, text, lang, source, n_chars in rows:
+        leaf = H(*map(counted, (doc_id, source, lang, n_chars, text)))
+        cut = text.replace("\n", "") if text is not None and doc_id is not None and zlib.crc32(str(doc_id).encode()) % 2 == 0 else text
+        trees.setdefault((source is not None, (source or "").encode()), []).append(((doc_id is not None, doc_id or 0), leaf, H(*map(counted, (doc_id, source, lang, n_chars, cut)))))
+    names = sorted(trees)
+    built = {t: climb([x[1] for x in sorted(trees[t])]) for t in names}
+    top = climb([built[t][-1][0] for t in names])
+    out = []
+    for k, t in enumerate(names):
+        for i, ((has, doc_id), leaf, cur) in enumerate(sorted(trees[t])):
+            way = [*sides(built[t], i), *sides(top, k)]
+            for left, right in way:
+                cur = H(*left, cur, *right)
+            out.append((doc_id if has else None, leaf, built[t][-1][0], top[-1][0], H(*(x for a, b in way for x in (*a, *b))), cur, cur == top[-1][0]))
+    return out
+
+
+def rows_of(rng, n, sources):
+    texts = ["a\nb", "plain", "", None, "é\n\n", "x" * 300]
+    return [(i, rng.choice(texts), rng.choice(["en", None]), rng.choice(sources), rng.choice([3, None])) for i in range(n)]
+
+
+KEY = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+
+
+# Small buckets make several layers.
+@pytest.mark.parametrize("n, levels", [(1, 6), (40, 1), (90, 2), (90, 6)])
+def test_equals_a_plain_tree(spark, n, levels):
+    rng = random.Random(n)
+    rows = rows_of(rng, n, ["s1", "s2", None, "ö", "only"] if n > 1 else ["s"])
+    rows += [(None, "t\n", None, "s1", 1)] * 3 + [(5, "same id", "en", "s1", 2)] * 2 if n > 1 else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((tuple(r) for r in M.manifest(docs.selectExpr("*", "'x' AS tree", "0L AS pos", "'y' AS root"), levels).collect()), key=KEY)
+    assert got == sorted(plain(rows), key=KEY)
+    assert n == 1 or {r[-1] for r in got} == {True, False}
+
+
+def test_hot_source(spark):
+    rows = rows_of(random.Random(9), 700, ["hot"] * 9 + ["cold"])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((tuple(r) for r in M.manifest(docs, 3).collect()), key=KEY) == sorted(plain(rows), key=KEY)
+
+
+def test_query_equals_its_sql(spark, write_docs):
+    rows = rows_of(random.Random(4), 150, ["s1", "s2", None, "z"])
+    sf = write_docs(rows)
+    out = M.op13_merkle_manifest(spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
+    want = con.execute(M.merkle_sql()).fetchall()
+    assert out.columns == [d[0] for d in con.description]
+    assert sorted((tuple(r) for r in out.collect()), key=KEY) == sorted(want, key=KEY) == sorted(plain(rows), key=KEY)
+
+
+def test_empty_table(spark):
+    assert M.manifest(spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")).collect() == []

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds at a time (a single longer text is one step).
@@ -65,6 +65,23 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """df with pos, a row's place within its group by `order` (from 0), and n, the group's rows, both long.
+
+    Rows are range-sorted and counted by part, so a group of any size is numbered by many tasks; only the counts, a row for
+    each part and group in it, meet in a window. Rows that are equal in all of `order` are dealt by a number of their own.
+    """
+    tied = written(df.withColumn("_tie", F.monotonically_increasing_id()), "unnumbered")
+    keys = [group, *order, "_tie"]
+    part = tied.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("_tie")
+    dealt = written(part.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "dealt")
+    counts = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.withColumns({"_before": before, "n": F.sum("_n").over(w)}).drop("_n")
+    return dealt.join(places, [group, "_part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).select(*df.columns, "pos", "n")
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of `column`, or of one row."""
     for b in batches:
