@@ -1,0 +1,185 @@
+"""Class n-grams: gains against the likelihood itself, and counts, base and scores against plain Python."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tidewarden.llm import class_ngrams as C
+
+
+def held(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+
+
+def tokens(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", lower), None]
+
+
+def corpus(rng, n):
+    """Sentences of two languages whose nouns and verbs alternate."""
+    kinds = [([f"n{k}x{i}" for i in range(30)], [f"v{k}x{i}" for i in range(30)]) for k in range(2)]
+    rows = []
+    for i in range(n):
+        nouns, verbs = kinds[rng.random() < 0.4]
+        words = [w for _ in range(rng.randint(0, 12)) for w in (rng.choice(nouns), rng.choice(verbs).upper())]
+        words += [f"rare{rng.randint(0, 400)}"] * rng.randint(0, 2)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    return [*corpus(rng, 300), (300, None), (301, ""), (302, " \n"), (None, "n0x1 V0x2"), (7, "same id n0x1"), (7, "same id n0x1"), (303, "É Ünï A\x1cb " + "long" * 40)]
+
+
+@pytest.fixture(scope="module")
+def built(spark, rows):
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
+    coded, v = C.coded_blocks(docs, 200)
+    near = C.neighbours(coded, v)
+    classes, course = C.exchanged(near, v)
+    return docs, v, near, classes, course
+
+
+def head_words(rows, v):
+    n = Counter(w for d, t in rows if not held(d) for w in tokens(t) if w is not None)
+    top = sorted((w for w in n if n[w] >= 1 << v.least and len(w.encode()) <= C.SPELLING), key=lambda w: (-n[w], w))
+    return n, {w: r for r, w in enumerate(top)}
+
+
+def test_vocabulary(rows, built):
+    _, v, near, _, _ = built
+    n, rank = head_words(rows, v)
+    ends = sum(not held(d) for d, _ in rows)
+    assert (v.tokens, v.types, v.documents) == (sum(n.values()) + ends, len(n) + 1, ends)
+    assert 100 < v.head == len(rank) <= 200 and v.counts.tolist() == [n[w] for w in rank]
+    assert all(v.band_tokens[b] == sum(c for w, c in n.items() if w not in rank and c.bit_length() == b + 1) for b in range(C.BANDS))
+    pairs = Counter()
+    for d, t in rows:
+        if not held(d):
+            seq = [None, *tokens(t)]
+            pairs.update((a, b) for a, b in zip(seq[:-1], seq[1:], strict=True) if a in rank or b in rank)
+    symbol = lambda w: rank[w] if w in rank else v.head + (C.END if w is None else C.BAND + n[w].bit_length() - 1)
+    want = Counter()
+    for (a, b), c in pairs.items():
+        want.update({(rank[a], symbol(b), False): c} if a in rank else {})
+        want.update({(rank[b], symbol(a), True): c} if b in rank else {})
+    got = {(r["w"], x["other"], x["before"]): x["n"] for r in near.collect() for x in r["near"]}
+    assert got == dict(want)
+
+
+def objective(seqs, of):
+    cells = Counter((of[a], of[b]) for s in seqs for a, b in zip(s[:-1], s[1:], strict=True))
+    size = Counter(of[w] for s in seqs for w in s[1:] if of[w] < C.CLASSES)
+    return sum(x * math.log(x) for x in cells.values()) - 2 * sum(x * math.log(x) for x in size.values())
+
+
+def test_gains_are_the_change_of_the_likelihood():
+    rng = random.Random(6)
+    seqs = [["end", *(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))), "end"] for _ in range(40)] + [["end", *"aaab", "end"]]
+    of = {w: i % 3 for i, w in enumerate("abcdefgh")} | {"end": C.END}
+    m = np.zeros((C.ALL, C.ALL))
+    totals = np.zeros(C.ALL)
+    for s in seqs:
+        for a, b in zip(s[:-1], s[1:], strict=True):
+            m[of[a], of[b]] += 1
+            totals[of[b]] += 1
+    for w in "abcdefgh":
+        right, left, own, n = np.zeros((1, C.ALL)), np.zeros((1, C.ALL)), np.zeros(1), np.zeros(1)
+        for s in seqs:
+            n[0] += s.count(w)
+            for a, b in zip(s[:-1], s[1:], strict=True):
+                own[0] += a == w == b
+                right[0, of[b]] += a == w != b
+                left[0, of[a]] += b == w != a
+        g = C.gains(m, totals, right, left, own, n, np.array([of[w]]))[0]
+        before = objective(seqs, of)
+        for b in (0, 1, 2, 5):
+            assert math.isclose(g[b], objective(seqs, of | {w: b}) - before, abs_tol=1e-8)
+
+
+def test_exchange_raises_the_likelihood_and_finds_the_kinds(rows, built):
+    _, v, near, classes, course = built
+    m, totals = C.transitions(near, C._symbol_classes(classes)), np.bincount(classes, weights=v.counts, minlength=C.ALL)
+    assert math.isclose(C.likelihood(m, totals), max(course)) and max(course) > course[0]
+    _, rank = head_words(rows, v)
+    kinds = defaultdict(set)
+    for w, r in rank.items():
+        if re.fullmatch("[nv][01]x.*", w):
+            kinds[classes[r]].add(w[:2])
+    assert sum(len(k) == 1 for k in kinds.values()) > 0.7 * len(kinds)
+
+
+def plain_scores(rows, v, classes):
+    n, rank = head_words(rows, v)
+    tail = lambda c: C.BAND + c.bit_length() - 1 if c else C.UNKNOWN
+
+    def cls(w, out=0):
+        return C.END if w is None else int(classes[rank[w]]) if w in rank else tail(n[w] - out)
+
+    def path(t, out=0):
+        context = C.END
+        for w in tokens(t):
+            yield context, w, cls(w, out)
+            context = cls(w) if w is None or w in rank else context
+
+    m = Counter((h, c) for d, t in rows if not held(d) for h, _, c in path(t, 1))
+    size = Counter()
+    for w, c in n.items():
+        size[cls(w)] += c
+    members = {C.END, C.UNKNOWN, *size}
+    total = Counter()
+    for (_, c), x in m.items():
+        if c in members:
+            total[c] += x
+    whole = sum(total[c] + 0.5 for c in members)
+    share = {c: (total[c] + 0.5) / whole for c in members}
+    row, kinds = Counter(), Counter()
+    for (h, c), x in m.items():
+        if c in members:
+            row[h] += x
+            kinds[h] += 1
+
+    def p(h, c):
+        return (max(m[h, c] - C.DISCOUNT, 0) + C.DISCOUNT * kinds[h] * share[c]) / row[h] if row[h] else share[c]
+
+    # In each context the outcomes' probabilities add up to one.
+    for h in {C.END, *map(int, classes)}:
+        assert math.isclose(p(h, C.END) + p(h, C.UNKNOWN) + sum(p(h, cls(w)) * n[w] / size[cls(w)] for w in n), 1)
+    out = []
+    ends, types = v.documents, v.types
+    for d, t in rows:
+        ws = tokens(t)
+        counts = [ends if w is None else n[w] for w in ws]
+        base = sum(math.log10((c + 1) / (v.tokens + types + 1)) for c in counts)
+        score = sum(math.log10(p(h, c) * (n[w] / size[c] if w is not None and n[w] else 1)) for h, w, c in path(t))
+        out.append((d, held(d), len(ws), sum(c > 0 for c in counts), v.tokens, base, score))
+    return out
+
+
+KEY = lambda r: (r[0] is not None, r[0] or 0, r[5])
+
+
+def test_scores_equal_plain_python(rows, built):
+    docs, v, _, classes, _ = built
+    got, want = sorted((tuple(r) for r in C.scored(docs, 200).collect()), key=KEY), sorted(plain_scores(rows, v, classes), key=KEY)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want])
+    out = [r for r in got if r[1]]
+    assert len(out) > 20 and sum(r[6] for r in out) > 0.9 * sum(r[5] for r in out)
+
+
+def test_query_and_empty_tables(spark, write_docs):
+    sf = write_docs([(0, "a b"), (1, None)])
+    assert C.op11_class_ngrams(spark, sf).columns == C.SCORES.names
+    assert C.scored(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    never = next(d for d in range(99) if held(d))
+    (r,) = C.scored(spark.createDataFrame([(never, "a b")], "doc_id long, text string")).collect()
+    assert tuple(r) == (never, True, 3, 0, 0, 0.0, 0.0)
