@@ -71,7 +71,7 @@ def test_vocabulary(rows, built):
     for (a, b), c in pairs.items():
         want.update({(rank[a], symbol(b), False): c} if a in rank else {})
         want.update({(rank[b], symbol(a), True): c} if b in rank else {})
-    got = {(r["w"], x["other"], x["before"]): x["n"] for r in near.collect() for x in r["near"]}
+    got = {(r["w"], *x[:2]): x[2] for r in near.collect() for x in zip(np.frombuffer(r["other"], np.int32).tolist(), np.frombuffer(r["before"], bool).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True)}
     assert got == dict(want)
 
 

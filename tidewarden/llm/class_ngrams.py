@@ -1,7 +1,7 @@
 """Brown class-based n-grams: exchange clustering of words, class transitions and word emissions, perplexity of every text.
 
-Method: documents are encoded in blocks with word lists of their own; words are counted over all training documents and the counts
-joined to the blocks' lists, so tokens themselves never meet the vocabulary in a shuffle. The most frequent words (whole bands
+Method: documents are encoded in blocks with word lists of their own; words are counted over all training documents by parts of
+the vocabulary, and the counts go back to the blocks' lists, so tokens themselves never meet the vocabulary in a shuffle. The most frequent words (whole bands
 of counts that double, at most HEAD words) are clustered by exchange: a word goes to the class that raises the class-bigram
 likelihood most, by the exact change for its left and right neighbours, one in PARTS words at a time, ROUNDS times; of the
 states on the way the likeliest stays. Every pair of neighbours of the whole corpus counts; they are kept by word, so a round reads them where they lie and shuffles
@@ -26,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import common
@@ -37,6 +38,7 @@ HEAD, SPELLING, CLASSES, DISCOUNT = 1 << 15, 64, 64, 0.5
 #: Of the clustered words one in PARTS may move in a round: too many at once would move for the same reason.
 ROUNDS, PARTS = 16, 6
 BLOCK_BYTES = 8 << 20
+#: Bands of counts: 1, 2 to 3, 4 to 7, ...
 BANDS = 64
 #: Classes after the exchange classes: the end mark, unknown words, bands of counts.
 END, UNKNOWN, BAND = CLASSES, CLASSES + 1, CLASSES + 2
@@ -80,44 +82,89 @@ def encoded(docs: DataFrame) -> DataFrame:
     return common.texts(docs).mapInArrow(run, BLOCKS_DDL)
 
 
+def counted(blocks: DataFrame) -> DataFrame:
+    """Training counts of all words: for each part of the vocabulary and block where the block's words (at) and their n are, and
+    for each part its words and their n (with a null block).
+
+    Words are dealt to parts by hash, as many as there are blocks, so a part is as large as a block's list; a row is a list, so
+    Spark moves few rows.
+    """
+    parts = max(1, blocks.count())
+    dealt = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                words, counts = b.column("words")[k].values, b.column("counts")[k].values.to_numpy()
+                part = np.array([zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()], np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                at = np.flatnonzero(np.diff(part[order], prepend=-1))
+                bounds = np.append(at, len(order))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order)))
+                yield common.as_batch(dealt, [part[order][at].astype(np.int32), pa.array(np.full(len(at), b.column("block")[k].as_py()), pa.int64()), common.binary_slices(order.astype(np.int32), bounds), lists, common.binary_slices(counts[order], bounds)])
+
+    out = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("words", pa.list_(pa.string())), ("n", pa.binary())])
+
+    def count(t: pa.Table) -> pa.Table:
+        lists = t.column("words").combine_chunks()
+        codes = lists.flatten().dictionary_encode()
+        index = codes.indices.to_numpy()
+        total = np.zeros(len(codes.dictionary), np.int64)
+        np.add.at(total, index, np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()]))
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        some = np.flatnonzero(total)
+        known = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), codes.dictionary.take(pa.array(some)))
+        every = pa.table([t.column("block"), t.column("at"), pa.nulls(t.num_rows, out.field("words").type), common.binary_slices(total[index], bounds)], schema=out)
+        return pa.concat_tables([every, pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), known, pa.array([total[some].tobytes()])], schema=out)])
+
+    lists = blocks.select("block", "words", "counts").mapInArrow(deal, "part int, block long, at binary, words array<string>, counts binary")
+    return common.written(lists.groupBy("part").applyInArrow(count, "block long, at binary, words array<string>, n binary"), "words")
+
+
+def _bands(n: np.ndarray) -> np.ndarray:
+    """floor(log2 n), exactly."""
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+
+
 class Vocabulary:
-    """Counts of all training words by band, and the clustered words in order of count.
+    """Counts of all training words by band, and the clustered words by count, then spelling.
 
-    The words themselves are a table (word, n, rank; rank is null for words that aren't clustered). Here is what is bounded: a
-    row for each band, and counts of the clustered words.
+    The words themselves are a table; here is what is bounded: a number for each band, and at most HEAD words of at most
+    SPELLING bytes with their counts.
     """
 
-    def __init__(self, blocks: DataFrame, head: int = HEAD):
-        spark = blocks.sparkSession
-        counted = blocks.selectExpr("inline(arrays_zip(words, counts))").where("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
-        counted = common.written(counted.withColumn("band", F.length(F.bin("n")) - 1), "words")
-        bands = {r["band"]: (r["types"], r["n"]) for r in counted.groupBy("band").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).collect()}
+    def __init__(self, blocks: DataFrame, words: DataFrame, head: int = HEAD):
+        known = words.where("block IS NULL").select("words", "n")
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = np.concatenate([np.frombuffer(x, np.int64) for x in b.column("n").to_pylist()]) if b.num_rows else np.zeros(0, np.int64)
+                types = np.bincount(_bands(n), minlength=BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(BANDS), pa.int32()), pa.array(types), pa.array(np.bincount(_bands(n), weights=n, minlength=BANDS).astype(np.int64))], ["band", "types", "n"])
+
+        bands = known.mapInArrow(tally, "band int, types long, n long").groupBy("band").agg(F.sum("types").alias("types"), F.sum("n").alias("n")).collect()
+        types, self.band_tokens = np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64)
+        for r in bands:
+            types[r["band"]], self.band_tokens[r["band"]] = r["types"], r["n"]
         self.documents = blocks.select(F.explode("doc_ids").alias("doc_id")).where(F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)).count()
-        self.tokens = sum(n for _, n in bands.values()) + self.documents
-        self.types = sum(t for t, _ in bands.values()) + (self.documents > 0)
-        self.band_tokens = np.zeros(BANDS, np.int64)
-        for b, (_, n) in bands.items():
-            self.band_tokens[b] = n
+        self.tokens = int(self.band_tokens.sum()) + self.documents
+        self.types = int(types.sum()) + (self.documents > 0)
         # Words seen once to three times are never clustered: they stand for unknown words and those seen once.
-        self.least = next(h for h in range(2, BANDS) if sum(t for b, (t, _) in bands.items() if b >= h) <= head)
-        top = counted.where((F.col("band") >= self.least) & (F.octet_length("word") <= SPELLING))
-        top = common.written(top.select("word", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("int").alias("rank")), "head")  # at most HEAD rows
-        self.counts = np.array([r["n"] for r in top.select("n").orderBy("rank").collect()], np.int64)
-        self.head = len(self.counts)
-        taken = np.bincount(np.frexp(self.counts.astype(np.float64))[1] - 1, weights=self.counts, minlength=BANDS)[:BANDS] if self.head else 0
-        self.band_tokens -= np.asarray(taken).astype(np.int64)
-        self.table = counted.join(top.select("word", "rank"), "word", "left").select("word", "n", "rank")
-        self.spark = spark
-
-
-def _ranked(local: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and ranks (-1: not clustered) of a block's words; words that training lacks have no entry."""
-    n, rank = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-    if local is not None and len(local):
-        at = local.field("at").to_numpy()
-        n[at] = local.field("n").to_numpy()
-        rank[at] = local.field("rank").fill_null(-1).to_numpy()
-    return n, rank
+        least = self.least = next(h for h in range(2, BANDS) if types[h:].sum() <= head)
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    n = np.frombuffer(b.column("n")[k].as_py(), np.int64)
+                    listed = b.column("words")[k].values
+                    some = np.flatnonzero((n >= 1 << least) & (pa.compute.binary_length(listed).to_numpy() <= SPELLING))
+                    yield pa.RecordBatch.from_arrays([listed.take(pa.array(some)), pa.array(n[some])], ["word", "n"])
+
+        top = sorted(((-r["n"], r["word"].encode()) for r in known.mapInArrow(frequent, "word string, n long").collect()))  # at most HEAD words
+        self.words = [w.decode() for _, w in top]
+        self.counts = np.array([-n for n, _ in top], np.int64)
+        self.head = len(top)
+        self.band_tokens -= np.bincount(_bands(self.counts), weights=self.counts, minlength=BANDS).astype(np.int64)
 
 
 class Block:
@@ -127,8 +174,7 @@ class Block:
         self.documents, self.doc_ids = documents, b.column("doc_ids")[k].as_py()
         sizes = b.column("sizes")[k].values.to_numpy()
         codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
-        known = b.column("known")[k]
-        n, rank = _ranked(known.values if known.is_valid else None, int(codes.max()) + 1 if len(codes) else 0)
+        n, rank = np.frombuffer(b.column("n")[k].as_buffer(), np.int64), np.frombuffer(b.column("rank")[k].as_buffer(), np.int32)
         self.sizes = sizes + 1
         self.ends = np.cumsum(self.sizes) - 1
         word = np.ones(int(self.sizes.sum()), bool)
@@ -164,20 +210,38 @@ def _each(batches: Iterator[pa.RecordBatch], documents: int) -> Iterator[Block]:
 # Exchange
 
 
+def _sides(key: np.ndarray, n: np.ndarray, size: int, head: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of sorted pairs (a * size + b) with counts: for each clustered a, its bs and their counts."""
+    a = key // size
+    starts = np.flatnonzero(np.diff(a, prepend=-1))
+    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(a)], strict=True):
+        if a[x] < head:
+            yield int(a[x]), (key[x:y] % size).astype(np.int32), n[x:y]
+
+
 def neighbours(coded: DataFrame, v: Vocabulary) -> DataFrame:
-    """w and its neighbours (other, n) of each clustered word: those after it, and with `before` those before it.
+    """For each clustered word w the words after it and before it: other (int32), n (int64) and before (bool), as bytes.
 
-    Words that aren't clustered are symbols after the clustered ones, one for each class.
+    Words that aren't clustered are symbols after the clustered ones, one for each class. A row is a list, so Spark moves few
+    rows; a clustered word has at most 2 (HEAD + ALL) neighbours.
     """
     head, documents = v.head, v.documents
     size = head + ALL
+    lists = pa.schema([("w", pa.int32()), ("before", pa.bool_()), ("other", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], 0
 
-        def sums() -> pa.RecordBatch:
+        def sums() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+            for before in (False, True):
+                if before:
+                    key = key % size * size + key // size
+                    order = np.argsort(key)
+                    key, n = key[order], n[order]
+                rows = [(w, before, o.tobytes(), c.tobytes()) for w, o, c in _sides(key, n, size, head)]
+                for at in range(0, len(rows), 5000):
+                    yield common.as_batch(lists, list(zip(*rows[at : at + 5000], strict=True)))
 
         same = np.arange(head)
         for block in _each(batches, documents):
@@ -187,25 +251,34 @@ def neighbours(coded: DataFrame, v: Vocabulary) -> DataFrame:
             some = block.train & ((a < head) | (b < head))
             keys.append(a[some] * size + b[some])
             held += len(keys[-1])
-            if held > 1 << 23:
-                yield sums()
+            if held > 1 << 22:
+                yield from sums()
                 keys, held = [], 0
         if held:
-            yield sums()
+            yield from sums()
 
-    pairs = common.written(coded.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    after = pairs.where(F.col("a") < head).select(F.col("a").alias("w"), F.col("b").alias("other"), "n", F.lit(False).alias("before"))
-    both = after.unionByName(pairs.where(F.col("b") < head).select(F.col("b").alias("w"), F.col("a").alias("other"), "n", F.lit(True).alias("before")))
-    # A clustered word has at most 2 (HEAD + ALL) neighbours.
-    return common.written(both.groupBy("w").agg(F.collect_list(F.struct("other", "n", "before")).alias("near")), "neighbours")
+    merged = pa.schema([("w", pa.int32()), ("other", pa.binary()), ("n", pa.binary()), ("before", pa.binary())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                near = b.column("near")[k].values
+                keys = [np.frombuffer(x.as_buffer(), np.int32) + size * np.int64(y.as_py()) for x, y in zip(near.field("other"), near.field("before"), strict=True)]
+                n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in near.field("n")])
+                key, of = np.unique(np.concatenate(keys), return_inverse=True)
+                yield common.as_batch(merged, [[b.column("w")[k].as_py()], [(key % size).astype(np.int32).tobytes()], [np.bincount(of, weights=n).astype(np.int64).tobytes()], [(key >= size).tobytes()]])
+
+    near = coded.mapInArrow(run, "w int, before boolean, other binary, n binary").groupBy("w").agg(F.collect_list(F.struct("before", "other", "n")).alias("near"))
+    return common.written(near.mapInArrow(merge, "w int, other binary, n binary, before binary"), "neighbours")
 
 
 def _near(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """w, and of each neighbour: row, other, n, before."""
-    w, near = b.column("w").to_numpy(), b.column("near")
-    rows = np.repeat(np.arange(len(w)), near.value_lengths().to_numpy())
-    flat = near.flatten()
-    return w, rows, flat.field("other").to_numpy(), flat.field("n").to_numpy().astype(np.float64), flat.field("before").to_numpy(zero_copy_only=False)
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in b.column(name)]
+    other = read("other", np.int32)
+    rows = np.repeat(np.arange(b.num_rows), [len(x) for x in other])
+    none = np.zeros(0, np.int64)
+    return b.column("w").to_numpy(), rows, np.concatenate([none, *other]), np.concatenate([none, *read("n", np.int64)]).astype(np.float64), np.concatenate([none.astype(bool), *read("before", bool)])
 
 
 def gains(m: np.ndarray, totals: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -369,13 +442,27 @@ def fitted(coded: DataFrame, v: Vocabulary, classes: np.ndarray) -> Model:
 
 
 def coded_blocks(docs: DataFrame, head: int = HEAD) -> tuple[DataFrame, Vocabulary]:
-    """Blocks with the counts and ranks of their words (known: at, n, rank), and the vocabulary."""
+    """Blocks with the counts (n, int64) and ranks (int32, -1: not clustered) of their words, and the vocabulary."""
     blocks = common.written(encoded(docs), "blocks")
-    v = Vocabulary(blocks, head)
-    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    known = words.join(v.table, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n", "rank")).alias("known"))
-    coded = common.written(blocks.select("block", "doc_ids", "sizes", "codes").join(known, "block", "left").drop("block"), "coded")
-    common.dropped(blocks)
+    words = counted(blocks)
+    v = Vocabulary(blocks, words, head)
+    clustered = pa.array(v.words, pa.string())
+    out = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("n", pa.binary()), ("rank", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                listed, known = b.column("words")[k].values, b.column("known")[k]
+                n = np.zeros(len(listed), np.int64)
+                for x in known.values if known.is_valid else ():
+                    n[np.frombuffer(x["at"].as_buffer(), np.int32)] = np.frombuffer(x["n"].as_buffer(), np.int64)
+                rank = pa.compute.index_in(listed, clustered).fill_null(-1).to_numpy().astype(np.int32)
+                yield common.as_batch(out, [b.column("doc_ids").slice(k, 1), b.column("sizes").slice(k, 1), b.column("codes").slice(k, 1), [n.tobytes()], [rank.tobytes()]])
+
+    known = words.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("known"))
+    joined = blocks.select("block", "doc_ids", "sizes", "codes", "words").join(known, "block", "left")
+    coded = common.written(joined.mapInArrow(run, "doc_ids array<long>, sizes array<long>, codes binary, n binary, rank binary"), "coded")
+    common.dropped(blocks, words)
     return coded, v
 
 
