@@ -37,7 +37,8 @@ from tidewarden.llm import common
 HEAD, SPELLING, CLASSES, DISCOUNT = 1 << 15, 64, 64, 0.5
 #: Of the clustered words one in PARTS may move in a round: too many at once would move for the same reason.
 ROUNDS, PARTS = 16, 6
-BLOCK_BYTES = 8 << 20
+#: Text of a block; pairs of neighbours that a task holds before it passes them on.
+BLOCK_BYTES, HELD_PAIRS = 4 << 20, 1 << 21
 #: Bands of counts: 1, 2 to 3, 4 to 7, ...
 BANDS = 64
 #: Classes after the exchange classes: the end mark, unknown words, bands of counts.
@@ -70,14 +71,20 @@ def encoded(docs: DataFrame) -> DataFrame:
         for b in common.steps(batches, limit=BLOCK_BYTES):
             ids = b.column(0).to_pylist()
             at, raw = common.value_offsets(b.column(1)).tolist(), memoryview(b.column(1).buffers()[2] or b"")
-            split = [bytes(raw[x:y]).lower().split() for x, y in zip(at[:-1], at[1:], strict=True)]  # of bytes: A-Z only; 0x20, 0x09 to 0x0D
-            sizes = np.array([len(s) for s in split], np.int64)
-            flat = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
+            tokens: list[bytes] = []
+            sizes = np.zeros(len(ids), np.int64)
+            for d, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                tokens += bytes(raw[x:y]).lower().split()  # of bytes: A-Z only; 0x20, 0x09 to 0x0D
+                sizes[d] = len(tokens)
+            sizes = np.diff(sizes, prepend=0)
+            flat = pa.array(tokens, pa.binary()).dictionary_encode()
+            del tokens
             codes = flat.indices.to_numpy().astype(np.int32)
             train = np.repeat(np.array([not held_out(d) for d in ids], bool), sizes)
             counts = np.bincount(codes[train], minlength=len(flat.dictionary))
             yield common.as_batch(BLOCKS, [[block], [ids], [sizes.tolist()], [codes.tobytes()], pa.ListArray.from_arrays(pa.array([0, len(flat.dictionary)], pa.int32()), flat.dictionary.cast(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64()))])
             block += 1
+            pa.default_memory_pool().release_unused()
 
     return common.texts(docs).mapInArrow(run, BLOCKS_DDL)
 
@@ -233,7 +240,10 @@ def neighbours(coded: DataFrame, v: Vocabulary) -> DataFrame:
         keys, held = [], 0
 
         def sums() -> Iterator[pa.RecordBatch]:
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            whole = np.concatenate(keys)
+            keys.clear()
+            key, n = np.unique(whole, return_counts=True)
+            del whole
             for before in (False, True):
                 if before:
                     key = key % size * size + key // size
@@ -251,9 +261,9 @@ def neighbours(coded: DataFrame, v: Vocabulary) -> DataFrame:
             some = block.train & ((a < head) | (b < head))
             keys.append(a[some] * size + b[some])
             held += len(keys[-1])
-            if held > 1 << 22:
+            if held > HELD_PAIRS:
                 yield from sums()
-                keys, held = [], 0
+                held = 0
         if held:
             yield from sums()
 
