@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions import detect, identity, patterns
 from tidewarden.functions.residue_text import baseline_hash
+from tidewarden.operators import rolling
 from tidewarden.sources.shared import written
 
 PROTECTED_FLAG, IMMUTABLE_FLAG = "protected_key_violation", "immutable_mismatch"
@@ -32,7 +33,7 @@ class SizeAnomaly:
             if getattr(self, name) <= 0:
                 object.__setattr__(self, name, default)
 
-    def flag(self, key: str, order: str, size: str) -> Column:
+    def flag(self, key: str | list[str], order: str, size: str) -> Column:
         w = Window.partitionBy(key).orderBy(order).rowsBetween(-self.window, -1)
         x = F.col(size).cast("decimal(14,0)")
         n = F.count(F.lit(1)).over(w)
@@ -55,22 +56,6 @@ class SelfReinforcement:
     def tokens(content: Column) -> Column:
         return F.array_distinct(F.regexp_extract_all(F.lower(content), F.lit("[a-z0-9]+"), F.lit(0)))
 
-    def flag(self, key: str, order: str, at: str, tokens: str, counts: str) -> Column:
-        """counts: whether a row is agent-authored; others neither count nor are judged.
-
-        The frame is the last `history` rows, so that a busy key's rows gather no more, and what is older than the cooldown
-        is left out of it; `at` doesn't fall with `order`.
-        """
-        w = Window.partitionBy(key, counts).orderBy(order).rowsBetween(-self.history, -1)
-        recent = F.collect_list(F.struct(F.col(at).alias("at"), F.col(tokens).alias("tokens"))).over(w)
-        past = F.filter(recent, lambda p: (p["at"] <= F.col(at)) & (F.col(at) - p["at"] < self.cooldown))
-
-        def near(p: Column) -> Column:
-            both, small = F.size(F.array_intersect(p["tokens"], F.col(tokens))), F.least(F.size(p["tokens"]), F.size(F.col(tokens)))
-            return (small > 0) & (both / small >= self.similarity)
-
-        return F.when(F.col(counts) & (F.size(F.filter(past, near)) >= self.most), REPEAT_FLAG)
-
 
 @dataclass(frozen=True)
 class Policy:
@@ -121,31 +106,53 @@ def key_flags(rows: DataFrame, differs: Column) -> DataFrame:
     return rows.withColumn("key_flag_1", F.when(live, flag_1)).withColumn("key_flag_2", F.when(live, flag_2)).withColumn("key_rejected", live & F.col("_reserved") & (F.col("_violates") | F.coalesce(differs, F.lit(False)))).drop("_reserved", "_violates", "_pinned")
 
 
+def differing(rows: DataFrame) -> DataFrame:
+    """seq of rows with key_marks() whose hash is another than their key's first. Only keys and hashes of pinned rows move."""
+    key = F.coalesce(F.col("key"), F.lit("")).alias("key")
+    pinned = rows.where("_pinned").select("seq", key, (F.col("h") if "h" in rows.columns else baseline_hash(F.col("redacted"))).alias("h"))
+    first = pinned.groupBy("key").agg(F.min_by("h", "seq").alias("baseline"))
+    return pinned.join(first, "key").where("h <> baseline").select("seq")
+
+
 def keyed(rows: DataFrame, policy: Policy) -> DataFrame:
     """key_flag_1, key_flag_2 and key_rejected. Baselines are those of rows that passed detection."""
     rows = key_marks(rows, policy)
-    # Only rows that pin or are compared need their key's first row: the window is over those, not over the log.
-    pinned = rows.where("_pinned").select("seq", F.coalesce(F.col("key"), F.lit("")).alias("key"), baseline_hash(F.col("redacted")).alias("h"))
-    first = pinned.groupBy("key").agg(F.min(F.struct("seq", "h")).alias("first")).select("key", F.col("first.h").alias("baseline"))
-    rows = rows.join(first, "key", "left")
-    return key_flags(rows, F.col("_pinned") & (baseline_hash(F.col("redacted")) != F.col("baseline"))).drop("baseline")
+    rows = rows.join(differing(rows).withColumn("_differs", F.lit(True)), "seq", "left")
+    return key_flags(rows, F.col("_pinned") & F.coalesce("_differs", F.lit(False))).drop("_differs")
 
 
-def inspected(rows: DataFrame, policy: Policy) -> DataFrame:
-    """size_flag and repeat_flag, from rows that were not rejected, in order of seq within each bound key.
+def measured(rows: DataFrame, policy: Policy) -> DataFrame:
+    """bytes, agent and words: what the rolling checks need to know of a content."""
+    agent = identity.agent_authored(F.col("source"))
+    none = F.array().cast("array<string>")
+    words = F.when(agent, policy.repeats.tokens(F.col("content"))).otherwise(none) if policy.repeats else none
+    return rows.withColumns({"bytes": F.octet_length("content").cast("long"), "agent": agent, "words": words})
+
 
-    State is per key and serial by nature; writers without an identity share one key. Only seq, sizes, word sets and
-    instants are shuffled.
+def inspections(passed: DataFrame, policy: Policy, part: int = rolling.PART) -> DataFrame:
+    """seq, size_flag and repeat_flag of the flagged rows of some with measured(), in order of seq within each bound key.
+
+    Keys are cut into parts of bounded size (see rolling); only seq, sizes, word sets and instants move. secs must not fall with
+    seq among a key's agent-authored rows: that is an error, here as in the stream.
     """
-    passed = rows.where(~F.col("injection") & ~F.col("key_rejected"))
-    slim = passed.select("seq", "secs", "bound_key", "content", F.octet_length("content").alias("bytes"), identity.agent_authored(F.col("source")).alias("agent"))
+    schema = "seq long, size_flag string, repeat_flag string"
+    out = passed.sparkSession.createDataFrame([], schema)
+    if policy.size:
+        sizes = rolling.flagged_sizes(passed.select("seq", "bound_key", "bytes"), "bound_key", "seq", policy.size.flag(["bound_key", "part"], "pos", "bytes"), policy.size.window, part)
+        out = out.unionByName(sizes.select(F.col("seq").cast("long").alias("seq"), F.col("_flag").alias("size_flag"), F.lit(None).cast("string").alias("repeat_flag")))
     if policy.repeats:
-        slim = slim.withColumn("tokens", F.when(F.col("agent"), policy.repeats.tokens(F.col("content"))).otherwise(F.array().cast("array<string>")))
-    size = policy.size.flag("bound_key", "seq", "bytes") if policy.size else F.lit(None).cast("string")
-    slim = slim.drop("content").withColumn("size_flag", size)
-    repeat = policy.repeats.flag("bound_key", "seq", "secs", "tokens", "agent") if policy.repeats else F.lit(None).cast("string")
-    flags = slim.withColumn("repeat_flag", repeat).select("seq", "size_flag", "repeat_flag").where("size_flag IS NOT NULL OR repeat_flag IS NOT NULL")
-    return rows.join(flags, "seq", "left")
+        r = policy.repeats
+        again = rolling.repeated(passed.where("agent").select(F.col("seq").cast("long").alias("seq"), F.col("secs").cast("long").alias("secs"), "bound_key", "words"), "bound_key", r.similarity, r.cooldown, r.most, r.history, part)
+        out = out.unionByName(again.select("seq", F.lit(None).cast("string").alias("size_flag"), F.lit(REPEAT_FLAG).alias("repeat_flag")))
+    return out.groupBy("seq").agg(F.max("size_flag").alias("size_flag"), F.max("repeat_flag").alias("repeat_flag"))
+
+
+def inspected(rows: DataFrame, policy: Policy) -> DataFrame:
+    """rows with size_flag and repeat_flag, from those that were not rejected."""
+    passed = rows.where(~F.col("injection") & ~F.col("key_rejected"))
+    passed = passed if "words" in rows.columns else measured(passed, policy)
+    slim = written(passed.select("seq", "secs", "bound_key", "bytes", "agent", "words"), "passed")
+    return rows.join(inspections(slim, policy), "seq", "left")
 
 
 def routed(rows: DataFrame) -> DataFrame:
@@ -160,9 +167,27 @@ def routed(rows: DataFrame) -> DataFrame:
 
 
 def screened(log: DataFrame, policy: Policy) -> DataFrame:
-    """detected() as a written table: the later steps join their rows with summaries of the same rows, and detection runs once."""
-    return written(detected(log, policy), "detected")
+    """detected() with key_marks() and measured() as a written table without the raw content, so that detection runs once."""
+    rows = measured(key_marks(detected(log, policy), policy), policy)
+    return written(rows.withColumn("h", F.when(F.col("_pinned"), baseline_hash(F.col("redacted")))).drop("content"), "detected")
+
+
+def keyed_text(rows: DataFrame) -> DataFrame:
+    """keyed() of screened rows, with empty flags of the rolling checks, which don't decide routing."""
+    none = F.lit(None).cast("string")
+    rows = rows.join(differing(rows).withColumn("_differs", F.lit(True)), "seq", "left")
+    return key_flags(rows, F.col("_pinned") & F.coalesce("_differs", F.lit(False))).drop("_differs").withColumns({"size_flag": none, "repeat_flag": none})
 
 
 def validate_writes(log: DataFrame, policy: Policy) -> DataFrame:
-    return routed(inspected(keyed(screened(log, policy), policy), policy))
+    """Verdicts of all writes. The steps find the few rows that they flag, by columns without text; the rows are joined once."""
+    rows = screened(log, policy)
+    differs = written(differing(rows).withColumn("differs", F.lit(True)), "differing")
+    marks = rows.select("seq", "secs", "bound_key", "bytes", "agent", "words", "injection", "_reserved", "_violates", "_pinned").join(differs, "seq", "left")
+    live = key_flags(marks, F.col("_pinned") & F.coalesce("differs", F.lit(False))).where(~F.col("injection") & ~F.col("key_rejected"))
+    flags = inspections(written(live.select("seq", "secs", "bound_key", "bytes", "agent", "words"), "passed"), policy)
+    none = F.lit(None)
+    flags = flags.select("seq", none.cast("boolean").alias("_differs"), "size_flag", "repeat_flag").unionByName(differs.select("seq", F.col("differs").alias("_differs"), none.cast("string").alias("size_flag"), none.cast("string").alias("repeat_flag")))
+    flags = flags.groupBy("seq").agg(F.max("_differs").alias("_differs"), F.max("size_flag").alias("size_flag"), F.max("repeat_flag").alias("repeat_flag"))
+    rows = rows.join(flags, "seq", "left")
+    return routed(key_flags(rows, F.col("_pinned") & F.coalesce("_differs", F.lit(False))).drop("_differs"))

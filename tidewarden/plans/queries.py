@@ -40,9 +40,7 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _redacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of writes that pass detection and key policy, without the rolling flags, which don't decide routing."""
-    rows = gate.keyed(gate.screened(write_log(spark, sf_dir), POLICY), POLICY)
-    none = F.lit(None).cast("string")
-    return store.entries(gate.routed(rows.withColumn("size_flag", none).withColumn("repeat_flag", none)))
+    return store.entries(gate.routed(gate.keyed_text(gate.screened(write_log(spark, sf_dir), POLICY))))
 
 
 def _flags(column: str = "flags"):
@@ -101,7 +99,7 @@ def source_class(spark, sf_dir):
 
 
 def key_policy(spark, sf_dir):
-    rows = gate.keyed(gate.screened(write_log(spark, sf_dir), POLICY), POLICY)
+    rows = gate.keyed_text(gate.screened(write_log(spark, sf_dir), POLICY))
     return rows.select("seq", "key_flag_1", "key_flag_2", "key_rejected")
 
 
