@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions import detect, identity
+from tidewarden.operators import asof
 
 
 def entries(writes: DataFrame) -> DataFrame:
@@ -50,11 +51,19 @@ def by_index(store: DataFrame, indexes: dict[str, DataFrame] | None = None) -> D
     return out
 
 
+def lives(puts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """puts with put_seq and del_seq, that of the first delete of their id (null: none)."""
+    return puts.withColumnRenamed("seq", "put_seq").join(deletes.groupBy("id").agg(F.min("seq").alias("del_seq")), "id", "left")
+
+
 def alive(puts: DataFrame, deletes: DataFrame, ops: DataFrame) -> DataFrame:
     """Entries as of each op: put before it, deleted (if at all) not before it. All have seq; deletes have id."""
-    ended = deletes.groupBy("id").agg(F.min("seq").alias("del_seq"))
-    lived = puts.withColumnRenamed("seq", "put_seq").join(ended, "id", "left")
-    return ops.withColumnRenamed("seq", "op_seq").join(lived, (F.col("put_seq") < F.col("op_seq")) & (F.col("del_seq").isNull() | (F.col("del_seq") >= F.col("op_seq"))))
+    return asof.joined(lives(puts, deletes), ops.withColumnRenamed("seq", "op_seq"), "put_seq", "del_seq", "op_seq")
+
+
+def alive_totals(puts: DataFrame, deletes: DataFrame, ops: DataFrame, **sums: Column) -> DataFrame:
+    """op_seq of each op, n entries that are alive as of it, and sums over them; no pair of op and entry is made."""
+    return asof.totals(lives(puts, deletes), ops.withColumnRenamed("seq", "op_seq"), "put_seq", "del_seq", "op_seq", **sums)
 
 
 def read(store: DataFrame, reads: DataFrame) -> DataFrame:

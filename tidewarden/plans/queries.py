@@ -174,12 +174,23 @@ def survivors(spark, sf_dir):
     return store.delete(s, s.where(F.col("seq") % 10 == 3)).select("seq", "id")
 
 
+def _lived(spark, sf_dir):
+    s = _redacted_store(spark, sf_dir).select("seq", "id", "bound_identity")
+    return s, s.where("seq % 10 = 3").select((F.col("seq") + 100).alias("seq"), "id")
+
+
 def alive_at(spark, sf_dir):
-    """Entries alive at each of a few ops: put before, not deleted before."""
-    s = _redacted_store(spark, sf_dir).select("seq", "id")
-    deletes = s.where("seq % 10 = 3").select((F.col("seq") + 100).alias("seq"), "id")
-    ops = spark.createDataFrame([(150,), (300,), (900,)], "seq long")
-    return store.alive(s, deletes, ops).groupBy("op_seq").agg(F.count(F.lit(1)).alias("n"), F.sum("put_seq").alias("seqs"))
+    """Entries alive as of every third write, in number and by the sum of their places: put before, not deleted before."""
+    s, deletes = _lived(spark, sf_dir)
+    ops = write_log(spark, sf_dir).where("seq % 3 = 0").select((F.col("seq") + 50).alias("seq"))
+    return store.alive_totals(s, deletes, ops, seqs=F.col("put_seq"))
+
+
+def alive_by_identity(spark, sf_dir):
+    """Entries alive as of some ops, by identity, from the pairs of op and entry."""
+    s, deletes = _lived(spark, sf_dir)
+    ops = write_log(spark, sf_dir).where("seq % 100 = 0").select((F.col("seq") + 50).alias("seq"))
+    return store.alive(s, deletes, ops).groupBy("op_seq", "bound_identity").agg(F.count(F.lit(1)).alias("n"), F.max("put_seq").alias("last"))
 
 
 def _residue_parts(spark, sf_dir):
@@ -277,7 +288,7 @@ def gate_by_probe(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
+    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, alive_by_identity, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
 }
 
 
@@ -375,7 +386,8 @@ held AS (SELECT w.id, s.id IS NOT NULL AS found, coalesce(s.content, '') AS cont
 {_chain("held", "id, found, flags", "content", "rv")} SELECT id, found, redacted AS content_redacted, flags FROM rv""",
     "deletion_hash": f"WITH {_STORE} SELECT seq, sha256(concat('delete', chr(0), id, chr(0), content)) AS deletion_hash FROM store",
     "survivors": f"WITH {_STORE} SELECT seq, id FROM store WHERE seq % 10 <> 3",
-    "alive_at": f"WITH {_STORE} SELECT op_seq, count(*) AS n, sum(seq)::BIGINT AS seqs FROM store, (VALUES (150), (300), (900)) o(op_seq) WHERE seq < op_seq AND (seq % 10 <> 3 OR seq + 100 >= op_seq) GROUP BY op_seq",
+    "alive_at": f"WITH {_STORE}, ops AS (SELECT seq + 50 AS op_seq FROM log WHERE seq % 3 = 0) SELECT op_seq, count(s.seq) AS n, coalesce(sum(s.seq), 0)::BIGINT AS seqs FROM ops LEFT JOIN store s ON s.seq < op_seq AND (s.seq % 10 <> 3 OR s.seq + 100 >= op_seq) GROUP BY op_seq",
+    "alive_by_identity": f"WITH {_STORE}, ops AS (SELECT seq + 50 AS op_seq FROM log WHERE seq % 100 = 0) SELECT op_seq, bound_identity, count(*) AS n, max(s.seq) AS last FROM ops JOIN store s ON s.seq < op_seq AND (s.seq % 10 <> 3 OR s.seq + 100 >= op_seq) GROUP BY ALL",
     "residue_verbatim": f"""WITH {_STORE}, d AS (SELECT seq AS del_seq, deleted, list_filter(toks, lambda t: strlen(t) >= {R.STRONG_BYTES} OR regexp_matches(t, '[0-9]')) AS strong FROM (SELECT seq, {_trim("content")} AS deleted, {_TOKENS} AS toks FROM store WHERE seq % {DELETE_EVERY} = {DELETE_AT})),
 pairs AS (SELECT del_seq, CASE WHEN contains(content, deleted) THEN strlen(deleted) ELSE list_max(list_transform(list_filter(strong, lambda t: contains(content, t)), lambda t: strlen(t))) END AS n FROM d, store WHERE seq % {DELETE_EVERY} <> {DELETE_AT})
 SELECT del_seq, count(*) AS n, max(n)::BIGINT AS longest FROM pairs WHERE n > 0 GROUP BY del_seq""",

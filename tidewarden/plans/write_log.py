@@ -48,7 +48,7 @@ CONTENT = "concat(text, CASE doc_id % 97 " + " ".join(f"WHEN {i} THEN ' {p}'" fo
 COLUMNS = {
     "seq": "doc_id",
     "secs": "1700000000 + doc_id * 7 + CASE WHEN doc_id % 50 > 40 THEN 0 ELSE (doc_id % 3) END",
-    "content": f"CASE WHEN doc_id % 41 = 5 OR doc_id % 200 BETWEEN 20 AND 31 THEN concat('task number ', (doc_id // 410) % 3, ' finished without errors and was filed today') ELSE {CONTENT} END",
+    "content": f"CASE WHEN doc_id % 41 = 5 OR doc_id % 200 BETWEEN 20 AND 37 THEN concat('task number ', (doc_id // 410) % 3, ' finished without errors and was filed today') ELSE {CONTENT} END",
     "spiffe_id": "CASE doc_id % 5 WHEN 0 THEN 'spiffe://t/alpha' WHEN 1 THEN 'spiffe://t/beta' WHEN 2 THEN ' spiffe://t/alpha ' WHEN 3 THEN 'shared://' END",
     "trust_tier": "CASE doc_id % 3 WHEN 0 THEN 'attested' WHEN 1 THEN ' attested' ELSE 'self' END",
     "scope": "CASE WHEN doc_id % 11 = 0 THEN 'shared' ELSE 'own' END",
