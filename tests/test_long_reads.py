@@ -1,0 +1,63 @@
+"""Reads in chunks against redaction of the whole text, cut as often as can be."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewarden.functions import detect
+from tidewarden.operators import long_reads
+
+BITS = ["15", "Jan", "1990", "January", "call", "555", "867", "5309", "(800)", "+1", "4111", "1111", "1111 1111 ", "mail", "a.b@c.org", "é", "日本", "123-45-6789", "sk-ant-abcdEFGH12345678", "fe80::1", ",", ".", "x", "10.2.3.4", "", " ", "\t", "GB29NWBK60161331926819", "0123456789abcdef" * 2, "<EMAIL>", "-", "2001", "May", "1"]
+
+
+def hits_of(rng, reads, most):
+    rows = []
+    for read in range(reads):
+        for seq in range(rng.randint(0, most)):
+            rows.append((read, seq, rng.choice([" ", "", "\n", " "]).join(rng.choices(BITS, k=rng.randint(0, 5)))))
+        spread = rng.choice([["on 15", "Jan", "1990 so"], ["x 555", "867", "5309 y"], ["(800)", "555-0199"], ["15 Jan", "2001"], ["+1", "555-867", "5309"]])
+        rows += [(read, 100 + i, t) for i, t in enumerate(spread)] if rng.random() < 0.5 else []
+    return rows
+
+
+@pytest.mark.parametrize("seed, chunk, parts", [(1, 1, 4), (2, 20, 4), (3, 1 << 16, 2), (4, 1, 40)])
+def test_chunks_equal_the_whole(spark, seed, chunk, parts):
+    rows = hits_of(random.Random(seed), 60, 25) + [(99, i, "15") for i in range(9)] + [(98, i, None) for i in range(3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)  # so many stretches have no cut at all
+    try:
+        hits = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "read_id long, seq long, content string")
+        got = {r["read_id"]: (r["content_redacted"], r["flags"]) for r in long_reads.texts(hits, chunk).collect()}
+        pieces = long_reads.chunks(hits, chunk).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    whole = {}
+    for read, _, text in sorted(rows, key=lambda r: r[:2]):
+        whole[read] = text or "" if read not in whole else whole[read] + "\n" + (text or "")
+    df = detect.with_redaction(spark.createDataFrame(list(whole.items()), "read_id long, text string"), "text")
+    assert got == {r["read_id"]: (r["redacted"], r["pii_flags"]) for r in df.collect()}
+    assert any("<PHONE>" in t for t, _ in got.values()) and any("<DOB>" in t for t, _ in got.values())
+    assert chunk > 1 or len(pieces) > 2 * len(whole)
+    joined = {}
+    for r in sorted(pieces, key=lambda r: (r["read_id"], r["part"], r["k"])):
+        joined[r["read_id"]] = joined.get(r["read_id"], "") + r["text"]
+    assert joined == {k: "\n" + t for k, t in whole.items()}
+
+
+def test_cuts_at_every_position_keep_the_result(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(BITS, k=8)) for _ in range(150)] + ["card 4111 1111 1111 1111 ok", "(800) 555-0199 x", "15\nJan\n1990 y", "a) 555 867 5309", "May 2001", "x) b"]
+    cut = [(i, m.end(), t) for i, t in enumerate(texts) for m in long_reads.CUT.finditer(t)]
+    df = spark.createDataFrame(cut, "i int, at int, t string").withColumns({"l": F.expr("substring(t, 1, at)"), "r": F.expr("substring(t, at + 1)")})
+    for c in ("t", "l", "r"):
+        df = detect.with_redaction(df, c, f"{c}_out", f"{c}_flags")
+    assert len(cut) > 200 and df.where("t_out <> concat(l_out, r_out)").collect() == []
+
+
+def test_long_texts_make_bounded_chunks_and_empty_tables(spark):
+    text = "word " * 50_000
+    hits = spark.createDataFrame([(1, i, text) for i in range(4)], "read_id long, seq long, content string")
+    sizes = [len(r["text"]) for r in long_reads.chunks(hits, 10_000).collect()]
+    assert max(sizes) < 10_100 and sum(sizes) == 4 * (len(text) + 1)
+    assert long_reads.texts(hits.limit(0)).collect() == []

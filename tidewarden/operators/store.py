@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions import detect, identity
-from tidewarden.operators import asof
+from tidewarden.operators import asof, long_reads
 
 
 def entries(writes: DataFrame) -> DataFrame:
@@ -69,16 +69,20 @@ def alive_totals(puts: DataFrame, deletes: DataFrame, ops: DataFrame, **sums: Co
 def read(store: DataFrame, reads: DataFrame) -> DataFrame:
     """Reads (read_id, query, spiffe_id, trust_tier): the visible hits in order of seq, joined by line feeds, then redacted.
 
+    Redaction is spread over chunks (see long_reads, which also gives reads that don't fit one string).
+
     Keys are an equi-join, so Spark broadcasts the reads where they are few and shuffles by key otherwise.
     """
     asked = reads.select("read_id", "query", F.explode(identity.visible_keys(F.col("spiffe_id"), F.col("trust_tier"))).alias("bound_identity"))
     live = store.where("NOT quarantined").select("seq", "content", "bound_identity")
     hits = live.join(asked, "bound_identity").where(F.contains("content", "query"))
-    texts = hits.groupBy("read_id").agg(F.collect_list(F.struct("seq", "content")).alias("hits"))
-    joined = F.array_join(F.transform(F.array_sort("hits"), lambda h: h["content"]), "\n")
-    every = reads.select("read_id").join(texts.select("read_id", joined.alias("text")), "read_id", "left")
-    out = detect.with_redaction(every, "text", "content_redacted", "flags")
-    return out.select("read_id", F.lit(True).alias("allow"), "content_redacted", "flags")
+    return answered(reads, long_reads.texts(hits.select("read_id", "seq", "content")))
+
+
+def answered(reads: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each read with its text and flags, empty where nothing was found."""
+    out = reads.select(F.col("read_id").cast("long").alias("read_id")).join(texts, "read_id", "left")
+    return out.select(F.col("read_id").cast(reads.schema["read_id"].dataType).alias("read_id"), F.lit(True).alias("allow"), F.coalesce("content_redacted", F.lit("")).alias("content_redacted"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"))
 
 
 def review(store: DataFrame, wanted: DataFrame) -> DataFrame:
