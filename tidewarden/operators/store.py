@@ -52,8 +52,10 @@ def by_index(store: DataFrame, indexes: dict[str, DataFrame] | None = None) -> D
 
 
 def lives(puts: DataFrame, deletes: DataFrame) -> DataFrame:
-    """puts with put_seq and del_seq, that of the first delete of their id (null: none)."""
-    return puts.withColumnRenamed("seq", "put_seq").join(deletes.groupBy("id").agg(F.min("seq").alias("del_seq")), "id", "left")
+    """puts with put_seq and del_seq, that of the first delete of their id after them (null: none)."""
+    puts = puts.withColumnRenamed("seq", "put_seq")
+    ended = puts.select("id", "put_seq").join(deletes.select("id", F.col("seq").alias("del_seq")), "id").where("del_seq > put_seq")
+    return puts.join(ended.groupBy("id", "put_seq").agg(F.min("del_seq").alias("del_seq")), ["id", "put_seq"], "left")
 
 
 def alive(puts: DataFrame, deletes: DataFrame, ops: DataFrame) -> DataFrame:

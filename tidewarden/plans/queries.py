@@ -10,7 +10,7 @@ from tidewarden.functions import residue_text as R
 from tidewarden.operators import audit, evaluate, gate, residue, store
 from tidewarden.sources import jsonl
 from tidewarden.sources.shared import folder, written
-from tidewarden.streaming import guard
+from tidewarden.streaming import guard, requests
 from tidewarden.plans.write_log import IMMUTABLE, LOG_SQL, PROTECTED, RESERVED, spread, write_log
 
 POLICY = gate.Policy(PROTECTED, IMMUTABLE, RESERVED)
@@ -130,7 +130,29 @@ def gate_stream(spark, sf_dir):
 def audit_stream(spark, sf_dir):
     """The same events as audit_events, from the stream's side output."""
     f = F.col("finding")
-    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/audit").select("seq", "class_uid", "severity_id", "time", f["type"].alias("type"), F.array_join(f["flags"], ",").alias("flags"), f["flag_count"].alias("flag_count"), f["stored_id"].alias("stored_id"), f["source_class"].alias("source_class"))
+    return guard.audit_events(spark, _streamed(spark, sf_dir)).select("seq", "class_uid", "severity_id", "time", f["type"].alias("type"), F.array_join(f["flags"], ",").alias("flags"), f["flag_count"].alias("flag_count"), f["stored_id"].alias("stored_id"), f["source_class"].alias("source_class"))
+
+
+#: Of the log of requests: what each write's place asks for, and the id that it names.
+OP_SQL = "CASE WHEN seq % 100 = 3 THEN 'validate_read' WHEN seq % 50 = 9 THEN 'verify_delete' WHEN seq % 50 = 19 THEN 'review_quarantine' WHEN seq % 50 = 29 THEN 'ping' ELSE 'validate_write' END"
+TARGET_SQL = "CASE WHEN seq % 50 = 9 THEN seq - 1 ELSE seq - (seq + 80) % 97 END"
+
+
+def dispatch_stream(spark, sf_dir):
+    """A log of requests of all kinds, answered as a stream in two lots with a restart between them."""
+    log = write_log(spark, sf_dir).withColumns({"op": F.expr(OP_SQL), "target": F.concat(F.lit("mem-"), F.substring(F.sha2(F.expr(TARGET_SQL).cast("string").cast("binary"), 256), 1, 12))})
+    identity_ = F.struct("spiffe_id", "trust_tier", "scope", F.col("source").alias("source_class"))
+    line = F.to_json(F.struct("op", F.when(F.col("op") == "validate_write", F.col("content")).alias("entry"), F.lit("Nightingale").alias("query"), F.col("target").alias("id"), "key", identity_.alias("identity")))
+    lines = log.select(F.col("seq").cast("long").alias("seq"), F.col("secs").cast("long").alias("secs"), line.alias("value"))
+    middle = F.lit(lines.agg(F.avg("seq")).first()[0])
+    place = folder(spark, "requests")
+    for k, lot in enumerate((lines.where(F.col("seq") < middle), lines.where(F.col("seq") >= middle))):
+        lot.write.parquet(f"{place}/in/lot={k}")
+        stream = spark.readStream.schema(lot.schema).parquet(f"{place}/in/lot=*")
+        requests.answered(spark, stream, f"{place}/out", f"{place}/state", POLICY, availableNow=True).awaitTermination()
+    answer = F.from_json("value", "allow boolean, found boolean, confirmed boolean, ok boolean, state string, content_redacted string, flags array<string>, deletion_hash string")
+    a = requests.answers(spark, f"{place}/out").select("seq", answer.alias("a")).select("seq", "a.*")
+    return a.select("seq", F.coalesce("allow", "found", "confirmed", "ok").alias("ok"), "state", F.md5(F.col("content_redacted").cast("binary")).alias("text_md5"), _flags(), "deletion_hash")
 
 
 def entries_latest(spark, sf_dir):
@@ -288,7 +310,7 @@ def gate_by_probe(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, alive_by_identity, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
+    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, dispatch_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, alive_by_identity, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
 }
 
 
@@ -360,7 +382,21 @@ _READER = f"CASE WHEN {_trim('trust_tier')} = 'attested' THEN {_trim('spiffe_id'
 _EVENTS_SQL = f"""{_GATED},
 ev AS (SELECT seq, secs, injection, CASE WHEN injection THEN flags ELSE pii_flags END AS eflags, stored_id, source_class FROM gated WHERE injection OR (state <> 'block' AND len(pii_flags) > 0))"""
 
+_ASKED = LOG_SQL.replace("log AS (", "every AS (", 1) + f", asked AS (SELECT *, {OP_SQL} AS op, concat('mem-', substr(sha256(({TARGET_SQL})::VARCHAR), 1, 12)) AS target FROM every), log AS (SELECT * EXCLUDE (op, target) FROM asked WHERE op = 'validate_write')"
+_LIVED = f"""{_GATED.replace(LOG_SQL, _ASKED)},
+store AS (SELECT seq, stored_id AS id, redacted AS content, bound_key AS bound_identity, state = 'quarantine' AS quarantined, flags FROM gated WHERE state <> 'block'),
+lived AS (SELECT s.*, min(d.seq) AS gone FROM store s LEFT JOIN asked d ON d.op = 'verify_delete' AND d.target = s.id AND d.seq > s.seq GROUP BY ALL),
+hits AS (SELECT r.seq, string_agg(l.content, chr(10) ORDER BY l.seq) AS text FROM asked r JOIN lived l ON r.op = 'validate_read' AND NOT l.quarantined AND l.seq < r.seq AND (l.gone IS NULL OR l.gone >= r.seq) AND contains(l.content, 'Nightingale') AND l.bound_identity IN ({_READER}, 'shared://') GROUP BY r.seq),
+held AS (SELECT a.seq, op, l.id IS NOT NULL AND quarantined AS found, CASE WHEN quarantined THEN l.content END AS text, CASE WHEN quarantined THEN l.flags END AS kept, sha256(concat('delete', chr(0), target, chr(0), coalesce(l.content, ''))) AS hash FROM asked a LEFT JOIN lived l ON a.target = l.id AND l.seq < a.seq AND (gone IS NULL OR gone >= a.seq) WHERE op IN ('review_quarantine', 'verify_delete')),
+texts AS (SELECT seq, text FROM hits UNION ALL SELECT seq, text FROM held WHERE op = 'review_quarantine' UNION ALL SELECT seq, '' FROM asked WHERE op = 'validate_read' AND seq NOT IN (SELECT seq FROM hits))"""
+
 ORACLE_SQL = {
+    "dispatch_stream": f"""WITH {_LIVED}, {_chain("texts", "seq", "text", "shown")}
+SELECT seq, state <> 'block' AS ok, state, NULL::VARCHAR AS text_md5, array_to_string(flags, ',') AS flags, NULL::VARCHAR AS deletion_hash FROM gated
+UNION ALL SELECT seq, true, NULL, md5(redacted), array_to_string(pii_flags, ','), NULL FROM asked JOIN shown USING (seq) WHERE op = 'validate_read'
+UNION ALL SELECT seq, found, NULL, md5(redacted), coalesce(array_to_string(kept, ','), ''), NULL FROM held JOIN shown USING (seq) WHERE op = 'review_quarantine'
+UNION ALL SELECT seq, true, NULL, NULL, NULL, hash FROM held WHERE op = 'verify_delete'
+UNION ALL SELECT seq, true, NULL, NULL, NULL, NULL FROM asked WHERE op = 'ping'""",
     "pii_redact": f"WITH {_chain('documents', 'doc_id', 'text', 'red')} SELECT doc_id, redacted, array_to_string(pii_flags, ',') AS pii_flags FROM red",
     "entity_overlay": f"""WITH {LOG_SQL}, {_chain('log', 'seq, content', 'content', 'red')}, laid AS (SELECT *, contains(content, '@') AS failed, contains(content, 'Nightingale') AND contains(redacted, 'Nightingale') AS named FROM red)
 SELECT seq, md5(CASE WHEN failed THEN redacted ELSE replace(redacted, 'Nightingale', '<PERSON>') END) AS redacted_md5, array_to_string(CASE WHEN failed THEN pii_flags WHEN named THEN list_sort(list_append(pii_flags, 'pii:PERSON')) ELSE list_sort(pii_flags) END, ',') AS pii_flags FROM laid""",
