@@ -10,7 +10,7 @@ from tidewarden.functions import residue_text as R
 from tidewarden.operators import audit, evaluate, gate, residue, store
 from tidewarden.sources import jsonl
 from tidewarden.sources.shared import folder, written
-from tidewarden.streaming import guard, requests
+from tidewarden.streaming import guard, requests, store_state
 from tidewarden.plans.write_log import IMMUTABLE, LOG_SQL, PROTECTED, RESERVED, spread, write_log
 
 POLICY = gate.Policy(PROTECTED, IMMUTABLE, RESERVED)
@@ -155,6 +155,22 @@ def dispatch_stream(spark, sf_dir):
     return a.select("seq", F.coalesce("allow", "found", "confirmed", "ok").alias("ok"), "state", F.md5(F.col("content_redacted").cast("binary")).alias("text_md5"), _flags(), "deletion_hash")
 
 
+#: A log of puts and deletes of a few hundred slots, so that most puts overwrite another.
+SLOT_SQL = "concat('slot-', CAST((seq * 7) % 300 AS STRING))"
+
+
+def index_stream(spark, sf_dir):
+    """The second index of a stream of puts and deletes, in two lots with a restart between them, read back from the state."""
+    put = F.expr("CASE WHEN seq % 10 = 3 THEN 'delete' ELSE 'put' END").alias("op")
+    ops = write_log(spark, sf_dir).select(F.col("seq").cast("long").alias("seq"), put, F.expr(SLOT_SQL).alias("id"), F.md5(F.col("content").cast("binary")).alias("content"))
+    middle, place = F.lit(ops.agg(F.avg("seq")).first()[0]), folder(spark, "store-state")
+    for k, lot in enumerate((ops.where(F.col("seq") < middle), ops.where(F.col("seq") >= middle))):
+        lot.write.parquet(f"{place}/in/lot={k}")
+        stream = spark.readStream.schema(lot.schema).parquet(f"{place}/in/lot=*")
+        store_state.kept(stream, f"{place}/links", f"{place}/state", availableNow=True).awaitTermination()
+    return store_state.content_index(spark, f"{place}/state").select(F.col("content").alias("content_md5"), _flags("ids"))
+
+
 def entries_latest(spark, sf_dir):
     puts = _redacted_store(spark, sf_dir).withColumn("id", F.concat(F.lit("slot-"), (F.col("seq") % 50).cast("string")))
     return store.latest(puts).select("id", "seq", "bound_identity", "content")
@@ -310,7 +326,7 @@ def gate_by_probe(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, dispatch_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, alive_by_identity, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
+    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, dispatch_stream, index_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, alive_by_identity, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
 }
 
 
@@ -410,6 +426,7 @@ SELECT seq, md5(CASE WHEN failed THEN redacted ELSE replace(redacted, 'Nightinga
     "size_anomaly": f"WITH {_GATED} SELECT seq, bound_key FROM gated WHERE size_flag IS NOT NULL",
     "self_reinforcement": f"WITH {_GATED} SELECT seq, bound_key FROM gated WHERE repeat_flag IS NOT NULL",
     "gate_state": f"WITH {_GATED} SELECT seq, state, state <> 'block' AS allow, stored_id, array_to_string(flags, ',') AS flags FROM gated",
+    "index_stream": f"WITH {LOG_SQL}, ops AS (SELECT seq, seq % 10 <> 3 AS put, {SLOT_SQL} AS id, md5(content) AS c FROM log), last AS (SELECT id, arg_max(put, seq) AS put, arg_max(c, seq) AS c FROM ops GROUP BY id) SELECT c AS content_md5, string_agg(id, ',' ORDER BY id) AS ids FROM last WHERE put GROUP BY c",
     "entries_latest": f"WITH {_STORE} SELECT concat('slot-', seq % 50) AS id, max(seq) AS seq, arg_max(bound_identity, seq) AS bound_identity, arg_max(content, seq) AS content FROM store GROUP BY seq % 50",
     "content_index": f"WITH {_STORE} SELECT md5(content) AS content_md5, string_agg(id, ',' ORDER BY id) AS ids FROM store GROUP BY content",
     "scoped_read": f"WITH {_STORE} SELECT seq, bound_identity FROM store WHERE contains(content, 'the') AND bound_identity IN ('spiffe://t/alpha', 'shared://')",
