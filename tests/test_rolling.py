@@ -46,7 +46,7 @@ def plain(rows, policy):
 
 
 SCHEMA_NAMES = ["seq", "secs", "bound_key", "bytes", "agent", "words"]
-SCHEMA = "seq long, secs long, bound_key string, bytes long, agent boolean, words array<string>"
+SCHEMA = "seq long, secs long, bound_key string, bytes long, agent boolean, words array<string>"  # and more, where inspectors are plugged in
 
 
 @pytest.mark.parametrize("part", [1, 50, 4096])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions import detect, identity, patterns
 from tidewarden.functions.residue_text import baseline_hash
-from tidewarden.operators import rolling
+from tidewarden.operators import inspectors, rolling
 from tidewarden.sources.shared import written
 
 PROTECTED_FLAG, IMMUTABLE_FLAG = "protected_key_violation", "immutable_mismatch"
@@ -59,7 +59,7 @@ class SelfReinforcement:
 
 @dataclass(frozen=True)
 class Policy:
-    """Globs of protected and immutable keys, the reserved prefix, and the inspectors that run."""
+    """Globs of protected and immutable keys, the reserved prefix, and the inspectors that run, in order of their flags."""
 
     protected: tuple[str, ...] = ()
     immutable: tuple[str, ...] = ()
@@ -67,6 +67,7 @@ class Policy:
     size: SizeAnomaly | None = field(default_factory=SizeAnomaly)
     repeats: SelfReinforcement | None = field(default_factory=SelfReinforcement)
     detector: detect.Detector = field(default_factory=detect.Detector)
+    more: tuple[inspectors.Lookback, ...] = ()
 
 
 def detected(log: DataFrame, policy: Policy) -> DataFrame:
@@ -122,36 +123,41 @@ def keyed(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def measured(rows: DataFrame, policy: Policy) -> DataFrame:
-    """bytes, agent and words: what the rolling checks need to know of a content."""
+    """bytes, agent, words and more: what the rolling checks and plugged-in inspectors need to know of a write."""
     agent = identity.agent_authored(F.col("source"))
     none = F.array().cast("array<string>")
     words = F.when(agent, policy.repeats.tokens(F.col("content"))).otherwise(none) if policy.repeats else none
-    return rows.withColumns({"bytes": F.octet_length("content").cast("long"), "agent": agent, "words": words})
+    return rows.withColumns({"bytes": F.octet_length("content").cast("long"), "agent": agent, "words": words, "more": inspectors.known(policy.more)})
 
 
 def inspections(passed: DataFrame, policy: Policy, part: int = rolling.PART) -> DataFrame:
-    """seq, size_flag and repeat_flag of the flagged rows of some with measured(), in order of seq within each bound key.
+    """seq, size_flag, repeat_flag and more_flags of the flagged rows of some with measured(), by seq within each bound key.
 
     Keys are cut into parts of bounded size (see rolling); only seq, sizes, word sets and instants move. secs must not fall with
     seq among a key's agent-authored rows: that is an error, here as in the stream.
     """
-    schema = "seq long, size_flag string, repeat_flag string"
-    out = passed.sparkSession.createDataFrame([], schema)
+    found = [passed.sparkSession.createDataFrame([], "seq long, place int, flag string")]
     if policy.size:
         sizes = rolling.flagged_sizes(passed.select("seq", "bound_key", "bytes"), "bound_key", "seq", policy.size.flag(["bound_key", "part"], "pos", "bytes"), policy.size.window, part)
-        out = out.unionByName(sizes.select(F.col("seq").cast("long").alias("seq"), F.col("_flag").alias("size_flag"), F.lit(None).cast("string").alias("repeat_flag")))
+        found.append(sizes.select(F.col("seq").cast("long").alias("seq"), F.lit(-2).alias("place"), F.lit(SIZE_FLAG).alias("flag")))
     if policy.repeats:
         r = policy.repeats
         again = rolling.repeated(passed.where("agent").select(F.col("seq").cast("long").alias("seq"), F.col("secs").cast("long").alias("secs"), "bound_key", "words"), "bound_key", r.similarity, r.cooldown, r.most, r.history, part)
-        out = out.unionByName(again.select("seq", F.lit(None).cast("string").alias("size_flag"), F.lit(REPEAT_FLAG).alias("repeat_flag")))
-    return out.groupBy("seq").agg(F.max("size_flag").alias("size_flag"), F.max("repeat_flag").alias("repeat_flag"))
+        found.append(again.select("seq", F.lit(-1).alias("place"), F.lit(REPEAT_FLAG).alias("flag")))
+    for k, inspector in enumerate(policy.more):
+        found.append(inspectors.flagged(passed, inspector, k, part).select("seq", F.lit(k).alias("place"), F.lit(inspector.flag).alias("flag")))
+    all_ = found[0]
+    for f in found[1:]:
+        all_ = all_.unionByName(f)
+    others = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "flag")))), lambda x: x["flag"])
+    return all_.groupBy("seq").agg(F.max(F.when(F.col("place") == -2, F.col("flag"))).alias("size_flag"), F.max(F.when(F.col("place") == -1, F.col("flag"))).alias("repeat_flag"), others.alias("more_flags"))
 
 
 def inspected(rows: DataFrame, policy: Policy) -> DataFrame:
     """rows with size_flag and repeat_flag, from those that were not rejected."""
     passed = rows.where(~F.col("injection") & ~F.col("key_rejected"))
     passed = passed if "words" in rows.columns else measured(passed, policy)
-    slim = written(passed.select("seq", "secs", "bound_key", "bytes", "agent", "words"), "passed")
+    slim = written(passed.select("seq", "secs", "bound_key", "bytes", "agent", "words", "more"), "passed")
     return rows.join(inspections(slim, policy), "seq", "left")
 
 
@@ -159,8 +165,9 @@ def routed(rows: DataFrame) -> DataFrame:
     """allow, state, flags (in order) and stored_id. Ids follow from seq, so a run can be repeated."""
     text = lambda name, flag: F.when(F.col(name), flag)
     listed = F.concat(F.array(text("injection", detect.INJECTION_FLAG)), F.col("pii_flags"), F.array(text("borderline", detect.BORDERLINE_FLAG)))
-    inspectors = F.array_distinct(F.array("size_flag", "repeat_flag"))
-    kept = F.when(F.col("injection"), listed).when(F.col("key_rejected"), F.concat(listed, F.array(F.coalesce("key_flag_1", "key_flag_2")))).otherwise(F.concat(listed, F.array("key_flag_1", "key_flag_2"), inspectors))
+    plugged = F.coalesce("more_flags", F.array().cast("array<string>")) if "more_flags" in rows.columns else F.array().cast("array<string>")
+    rolling_flags = F.array_distinct(F.concat(F.array("size_flag", "repeat_flag"), plugged))
+    kept = F.when(F.col("injection"), listed).when(F.col("key_rejected"), F.concat(listed, F.array(F.coalesce("key_flag_1", "key_flag_2")))).otherwise(F.concat(listed, F.array("key_flag_1", "key_flag_2"), rolling_flags))
     state = F.when(F.col("injection") | F.col("key_rejected"), "block").when(F.col("borderline"), "quarantine").otherwise("allow")
     rows = rows.withColumn("flags", F.filter(kept, lambda f: f.isNotNull())).withColumn("state", state).withColumn("allow", F.col("state") != "block")
     return rows.withColumn("stored_id", F.when(F.col("allow"), F.concat(F.lit("mem-"), F.substring(F.sha2(F.col("seq").cast("string").cast("binary"), 256), 1, 12))))
@@ -183,11 +190,9 @@ def validate_writes(log: DataFrame, policy: Policy) -> DataFrame:
     """Verdicts of all writes. The steps find the few rows that they flag, by columns without text; the rows are joined once."""
     rows = screened(log, policy)
     differs = written(differing(rows).withColumn("differs", F.lit(True)), "differing")
-    marks = rows.select("seq", "secs", "bound_key", "bytes", "agent", "words", "injection", "_reserved", "_violates", "_pinned").join(differs, "seq", "left")
+    marks = rows.select("seq", "secs", "bound_key", "bytes", "agent", "words", "more", "injection", "_reserved", "_violates", "_pinned").join(differs, "seq", "left")
     live = key_flags(marks, F.col("_pinned") & F.coalesce("differs", F.lit(False))).where(~F.col("injection") & ~F.col("key_rejected"))
-    flags = inspections(written(live.select("seq", "secs", "bound_key", "bytes", "agent", "words"), "passed"), policy)
-    none = F.lit(None)
-    flags = flags.select("seq", none.cast("boolean").alias("_differs"), "size_flag", "repeat_flag").unionByName(differs.select("seq", F.col("differs").alias("_differs"), none.cast("string").alias("size_flag"), none.cast("string").alias("repeat_flag")))
-    flags = flags.groupBy("seq").agg(F.max("_differs").alias("_differs"), F.max("size_flag").alias("size_flag"), F.max("repeat_flag").alias("repeat_flag"))
+    flags = inspections(written(live.select("seq", "secs", "bound_key", "bytes", "agent", "words", "more"), "passed"), policy)
+    flags = flags.join(differs.withColumnRenamed("differs", "_differs"), "seq", "full")
     rows = rows.join(flags, "seq", "left")
     return routed(key_flags(rows, F.col("_pinned") & F.coalesce("_differs", F.lit(False))).drop("_differs"))
