@@ -41,6 +41,14 @@ def lines_of(rng, file, n, held):
     return out
 
 
+def told(file, first):
+    """A conversation in which everything happens that chance may leave out."""
+    write = lambda text: {"op": "validate_write", "entry": text, "identity": WHO[0]}
+    ops = [write(TEXTS[0]), write(TEXTS[0]), {"op": "validate_read", "query": "plan", "identity": WHO[0]}, {"op": "verify_delete", "id": mint(file, first)}]
+    ops += [write(TEXTS[2]), {"op": "review_quarantine", "id": mint(file, first + 4)}, *[write(TEXTS[0])] * 3]
+    return [json.dumps({**r, "at": 1000 * file + 10 * (first + k)}) for k, r in enumerate(ops)]
+
+
 def put(folder, file, lines):
     with open(f"{folder}/.new", "w") as f:
         f.write("\n".join(lines) + "\n\n")
@@ -52,6 +60,7 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
     policy = gate.Policy()
     held: list[str] = []
     files = [lines_of(rng, k, 22, held) for k in range(3)] + [["no json", '{"op": 3}']]
+    files[1] += told(1, 22)
     folder = tmp_path / "requests"
     folder.mkdir()
     place = f"file://{tmp_path}/out"
