@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,35 @@ def review(store: DataFrame, wanted: DataFrame) -> DataFrame:
     held = store.where("quarantined").select("id", "content", F.col("flags").alias("_flags"), F.lit(True).alias("found"))
     out = detect.with_redaction(wanted.select("id").join(held, "id", "left"), "content", "content_redacted", "_pii")
     return out.select("id", F.coalesce("found", F.lit(False)).alias("found"), "content_redacted", F.coalesce("_flags", F.array().cast("array<string>")).alias("flags"))
+
+
+@dataclass(frozen=True)
+class Store:
+    """A store with the seven verbs; a put or delete gives another store. puts: entries with seq and id, the last of an id counts.
+
+    copies: entries by the name of the index that holds them, of which a delete takes its ids too.
+    """
+
+    puts: DataFrame
+    copies: dict[str, DataFrame] = field(default_factory=dict)
+
+    def all(self) -> DataFrame:
+        return latest(self.puts)
+
+    def put(self, rows: DataFrame) -> Store:
+        return Store(self.puts.unionByName(rows), self.copies)
+
+    def get(self, wanted: DataFrame) -> DataFrame:
+        return get(self.all(), wanted)
+
+    def delete(self, ids: DataFrame) -> Store:
+        return Store(delete(self.all(), ids), {name: delete(copy, ids) for name, copy in self.copies.items()})
+
+    def scan(self, query: str | Column) -> DataFrame:
+        return scan(self.all(), query)
+
+    def scan_scoped(self, query: str, keys: list[str]) -> DataFrame:
+        return scan_scoped(self.all(), query, keys)
+
+    def by_index(self) -> DataFrame:
+        return by_index(self.all(), self.copies)
