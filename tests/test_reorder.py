@@ -1,0 +1,34 @@
+"""Writes that come out of order are screened in order; late ones are counted."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tidewarden.operators import gate
+from tidewarden.streaming import guard, reorder
+
+LOG = "seq long, secs long, content string, spiffe_id string, trust_tier string, scope string, source string, key string"
+
+
+def test_shuffled_lots_equal_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, 1000 + 3 * (i // 2), f"the nightly report number {i % 3} is fine" if i % 4 else "z" * (50 + 9000 * (i == 112)), f"s{i % 2}", "attested", "own", "system", "guard:x" if i % 9 == 0 else "") for i in range(120)]
+    policy = gate.Policy()
+    columns = ("seq", "state", "flags", "redacted")
+    want = sorted(gate.validate_writes(spark.createDataFrame(rows, LOG), policy).select(*columns).collect())
+    # Rows come up to 40 seconds late, in four lots; then one that is later than that, and ticks that end the stream.
+    order = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 40))
+    tick = lambda secs: (None, secs, None, None, None, None, None, None)
+    lots = [order[:30], order[30:60], order[60:90], order[90:] + [tick(9000)], [(500, 1010, "too late", "s0", "attested", "own", "system", ""), tick(9100)]]
+    found = []
+    for k, lot in enumerate(lots):
+        spark.createDataFrame(lot, LOG).repartition(2).write.parquet(f"{tmp_path}/in/lot={k}")
+        stream = reorder.reordered(spark.readStream.schema(LOG).parquet(f"{tmp_path}/in/lot=*"), 60)
+        q = guard.started(stream, policy, f"{tmp_path}/out", f"{tmp_path}/state", availableNow=True)
+        q.awaitTermination()
+        found += [tuple(r) for r in reorder.late(q).collect()]
+    got = spark.read.parquet(f"{tmp_path}/out/verdicts").select(*columns)
+    assert sorted(got.collect()) == want
+    assert {f for r in want for f in r["flags"]} >= {"size_anomaly_suspected", "self_reinforcement_suspected", "immutable_mismatch"}
+    assert sum(n for _, n in found) == 1
+    assert got.where(F.col("seq") == 500).count() == 0

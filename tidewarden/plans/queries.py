@@ -243,6 +243,16 @@ def residue_verbatim(spark, sf_dir):
     return pairs.groupBy("del_seq").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("fragment")).cast("long").alias("longest"))
 
 
+def residue_overlap(spark, sf_dir):
+    """Survivors that have most of a deleted content's words, in two indexes: all entries, and an archive of some of them."""
+    s = written(_redacted_store(spark, sf_dir).select("seq", "id", "content"), "store")
+    d = _deletes(s)
+    left = store.delete(s, d)
+    copies = store.by_index(left, {"archive": left.where("seq % 4 = 1")}).select("index_name", "content")
+    found = residue.overlaps(s.join(d.select("id", "del_seq"), "id").select("del_seq", "content"), copies)
+    return found.groupBy("del_seq", "index_name").agg(F.count(F.lit(1)).alias("n"), F.floor(F.max("ratio") * 1000 + 1e-6).cast("long").alias("most_milli"))
+
+
 def residue_tokens(spark, sf_dir):
     s = _redacted_store(spark, sf_dir)
     return s.select("seq", F.array_join(R.distinctive(F.col("content")), " ").alias("tokens"))
@@ -326,7 +336,7 @@ def gate_by_probe(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, dispatch_stream, index_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, alive_by_identity, residue_verbatim, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
+    for f in (pii_redact, entity_overlay, pii_label_counts, injection_literal, injection_decoded, borderline, bound_identity, source_class, key_policy, size_anomaly, self_reinforcement, gate_state, gate_stream, audit_stream, dispatch_stream, index_stream, entries_latest, content_index, scoped_read, read_redacted, review_quarantine, deletion_hash, survivors, alive_at, alive_by_identity, residue_verbatim, residue_overlap, residue_tokens, residue_scan, store_get, store_scan, store_copies, entries_round_trip, flag_counts, audit_deletes, audit_deletes_wire, audit_events, audit_wire, gate_recall_precision, gate_by_probe)
 }
 
 
@@ -406,6 +416,10 @@ hits AS (SELECT r.seq, string_agg(l.content, chr(10) ORDER BY l.seq) AS text FRO
 held AS (SELECT a.seq, op, l.id IS NOT NULL AND quarantined AS found, CASE WHEN quarantined THEN l.content END AS text, CASE WHEN quarantined THEN l.flags END AS kept, sha256(concat('delete', chr(0), target, chr(0), coalesce(l.content, ''))) AS hash FROM asked a LEFT JOIN lived l ON a.target = l.id AND l.seq < a.seq AND (gone IS NULL OR gone >= a.seq) WHERE op IN ('review_quarantine', 'verify_delete')),
 texts AS (SELECT seq, text FROM hits UNION ALL SELECT seq, text FROM held WHERE op = 'review_quarantine' UNION ALL SELECT seq, '' FROM asked WHERE op = 'validate_read' AND seq NOT IN (SELECT seq FROM hits))"""
 
+# The normal form of one word: number words are numbers, and 5k is 5000.
+_WORD = f"""CASE WHEN w IN ({", ".join(f"'{k}'" for k in (*R.UNITS, *R.SCALES))}) THEN (MAP {{{", ".join(f"'{k}': {v}" for k, v in (R.UNITS | R.SCALES).items())}}}[w])::VARCHAR
+  WHEN regexp_matches(w, '[0-9][kmb]$') THEN regexp_extract(w, '^(.*?)[0-9]+(\\.[0-9]+)?[kmb]$', 1) || trunc(regexp_extract(w, '([0-9]+(?:\\.[0-9]+)?)[kmb]$', 1)::DOUBLE * CASE right(w, 1) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 ELSE 1e9 END)::BIGINT::VARCHAR ELSE w END"""
+
 ORACLE_SQL = {
     "dispatch_stream": f"""WITH {_LIVED}, {_chain("texts", "seq", "text", "shown")}
 SELECT seq, state <> 'block' AS ok, state, NULL::VARCHAR AS text_md5, array_to_string(flags, ',') AS flags, NULL::VARCHAR AS deletion_hash FROM gated
@@ -444,6 +458,10 @@ held AS (SELECT w.id, s.id IS NOT NULL AS found, coalesce(s.content, '') AS cont
     "residue_verbatim": f"""WITH {_STORE}, d AS (SELECT seq AS del_seq, deleted, list_filter(toks, lambda t: strlen(t) >= {R.STRONG_BYTES} OR regexp_matches(t, '[0-9]')) AS strong FROM (SELECT seq, {_trim("content")} AS deleted, {_TOKENS} AS toks FROM store WHERE seq % {DELETE_EVERY} = {DELETE_AT})),
 pairs AS (SELECT del_seq, CASE WHEN contains(content, deleted) THEN strlen(deleted) ELSE list_max(list_transform(list_filter(strong, lambda t: contains(content, t)), lambda t: strlen(t))) END AS n FROM d, store WHERE seq % {DELETE_EVERY} <> {DELETE_AT})
 SELECT del_seq, count(*) AS n, max(n)::BIGINT AS longest FROM pairs WHERE n > 0 GROUP BY del_seq""",
+    "residue_overlap": f"""WITH {_STORE}, toks AS (SELECT seq, list_transform({_TOKENS}, lambda w: {_WORD}) AS mine FROM store),
+copies AS (SELECT 'primary' AS index_name, * FROM toks UNION ALL SELECT 'archive', * FROM toks WHERE seq % 4 = 1),
+pairs AS (SELECT d.seq AS del_seq, c.index_name, len(list_filter(d.mine, lambda t: list_contains(c.mine, t))) / len(d.mine) AS ratio FROM toks d, copies c WHERE d.seq % {DELETE_EVERY} = {DELETE_AT} AND c.seq % {DELETE_EVERY} <> {DELETE_AT} AND len(d.mine) >= {R.LEAST_TOKENS})
+SELECT del_seq, index_name, count(*) AS n, floor(max(ratio) * 1000 + 1e-6)::BIGINT AS most_milli FROM pairs WHERE ratio >= {R.OVERLAP} GROUP BY ALL""",
     "residue_tokens": f"WITH {_STORE} SELECT seq, array_to_string({_TOKENS}, ' ') AS tokens FROM store",
     "store_get": f"WITH {_STORE}, wanted AS (SELECT id FROM store WHERE substr(id, 5, 1) < '4' UNION ALL SELECT 'mem-none') SELECT w.id, s.id IS NOT NULL AS found, s.bound_identity FROM wanted w LEFT JOIN store s USING (id)",
     "store_scan": f"WITH {_STORE} SELECT seq, quarantined FROM store WHERE contains(content, 'number')",
