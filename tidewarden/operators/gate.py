@@ -173,9 +173,13 @@ def routed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stored_id", F.when(F.col("allow"), F.concat(F.lit("mem-"), F.substring(F.sha2(F.col("seq").cast("string").cast("binary"), 256), 1, 12))))
 
 
-def screened(log: DataFrame, policy: Policy) -> DataFrame:
-    """detected() with key_marks() and measured() as a written table without the raw content, so that detection runs once."""
-    rows = measured(key_marks(detected(log, policy), policy), policy)
+def screened(log: DataFrame, policy: Policy, measure: bool = True) -> DataFrame:
+    """detected() with key_marks() and measured() as a written table without the raw content, so that detection runs once.
+
+    measure: False where no rolling check follows.
+    """
+    rows = key_marks(detected(log, policy), policy)
+    rows = measured(rows, policy) if measure else rows
     return written(rows.withColumn("h", F.when(F.col("_pinned"), baseline_hash(F.col("redacted")))).drop("content"), "detected")
 
 

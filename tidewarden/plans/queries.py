@@ -40,7 +40,7 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _redacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of writes that pass detection and key policy, without the rolling flags, which don't decide routing."""
-    return store.entries(gate.routed(gate.keyed_text(gate.screened(write_log(spark, sf_dir), POLICY))))
+    return store.entries(gate.routed(gate.keyed_text(gate.screened(write_log(spark, sf_dir), POLICY, measure=False))))
 
 
 def _flags(column: str = "flags"):
@@ -99,7 +99,7 @@ def source_class(spark, sf_dir):
 
 
 def key_policy(spark, sf_dir):
-    rows = gate.keyed_text(gate.screened(write_log(spark, sf_dir), POLICY))
+    rows = gate.keyed_text(gate.screened(write_log(spark, sf_dir), POLICY, measure=False))
     return rows.select("seq", "key_flag_1", "key_flag_2", "key_rejected")
 
 
@@ -232,14 +232,14 @@ def alive_by_identity(spark, sf_dir):
 
 
 def _residue_parts(spark, sf_dir):
-    s = _redacted_store(spark, sf_dir)
+    s = written(_redacted_store(spark, sf_dir).select("seq", "id", "content"), "store")
     d = _deletes(s)
     return s.join(d.select("id", "del_seq"), "id").select("del_seq", "content"), store.delete(s, d).select("seq", F.lit("primary").alias("index_name"), "content")
 
 
 def residue_verbatim(spark, sf_dir):
     deleted, left = _residue_parts(spark, sf_dir)
-    pairs = residue.matches(deleted, left, phrases=False).where("class = 'verbatim'")
+    pairs = residue.matches(deleted, left, verbatim=True)
     return pairs.groupBy("del_seq").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("fragment")).cast("long").alias("longest"))
 
 
