@@ -182,3 +182,27 @@ def test_recognizer_falls_back(spark):
     assert rows[0].asDict().keys() == {"i", "text", "redacted", "pii_flags"}
     plain = detect.detector("presidio", recognizer=missing).redact(df, "text").orderBy("i").collect()
     assert [r["redacted"] for r in plain] == [r["redacted"] for r in detect.detector().redact(df, "text").orderBy("i").collect()]
+
+
+def test_recognizers_run_where_they_may_match(spark):
+    """Prefilters never hide a match, also beside letters that fold, and keep plain texts from the recognizers."""
+    from tidewarden.plans.write_log import PROBES
+
+    wider = ["1-23-45-6789", "4111-1111-1111-1", "4 1 1 1 1 1 1 1 1 1 1 1 1 x", "(800)\n555-0199", "1:2:3:4:5:6:7:8", "fe80::", "::1", "1.2.3.4", "5 March  1999", "12/1/2001", "GB29AAAA", "a" * 32, "pat_12345678", "IGNORE INſTRUCTIONS", "dısregard instructions", "ſyſtem prompt", "</ınstructıons>", "[İNJECT:", "unreſtricted bot", "PRETEND this never happened"]
+    rows = spark.createDataFrame([(t,) for t in [*PROBES, *wider, "", "plain words and nothing more", "7 and 19 of 200"]], "t string")
+    for label, pattern in patterns.PII:
+        seen = rows.select(detect.may_match(F.col("t"), label).alias("may"), F.rlike("t", F.lit(patterns.java(pattern))).alias("does"), "t").collect()
+        assert [r for r in seen if r["does"] and not r["may"]] == []
+        assert any(r["does"] for r in seen) and not any(r["may"] for r in seen if r["t"] == "plain words and nothing more")
+    for needs, whole in ((patterns.INJECTION_NEEDS, patterns.INJECTION), (patterns.BORDERLINE_NEEDS, (patterns.BORDERLINE,)), (patterns.BASE64_NEEDS, (patterns.BASE64_RUN,)), (patterns.BASE64_JAVA, (patterns.BASE64_RUN,))):
+        either = F.lit("|".join(f"(?:{patterns.java(p)})" for p in whole))
+        seen = rows.select(F.rlike("t", F.lit(needs)).alias("may"), F.rlike("t", either).alias("does"), "t").collect()
+        assert [r for r in seen if r["does"] and not r["may"]] == [] and any(r["does"] for r in seen)
+
+
+def test_label_counts_redact_once(spark):
+    """The filter that Spark makes for an inner explode would repeat the chain for each flag."""
+    from tidewarden.plans import queries
+
+    plan = queries.pii_label_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == len(patterns.PII)
