@@ -61,3 +61,13 @@ def test_long_texts_make_bounded_chunks_and_empty_tables(spark):
     sizes = [len(r["text"]) for r in long_reads.chunks(hits, 10_000).collect()]
     assert max(sizes) < 10_100 and sum(sizes) == 4 * (len(text) + 1)
     assert long_reads.texts(hits.limit(0)).collect() == []
+
+
+def test_digests_equal_those_of_whole_texts(spark):
+    """md5, length and flags come from chunks in order, without a text being put together."""
+    import hashlib
+
+    rows = [(r, k, f"é {r} mail a{k}@x.org {'word ' * (k % 7)}") for r in (1, 2, 3) for k in range(60)]
+    hits = spark.createDataFrame([*rows, (4, 1, None)], "read_id long, seq long, content string")
+    want = {r["read_id"]: (hashlib.md5(r["content_redacted"].encode()).hexdigest(), len(r["content_redacted"]), r["flags"]) for r in long_reads.texts(hits, 100).collect()}
+    assert {r["read_id"]: (r["text_md5"], r["n"], r["flags"]) for r in long_reads.digests(hits, 100).collect()} == want and len(want) == 4
