@@ -183,3 +183,35 @@ def test_query_and_empty_tables(spark, write_docs):
     never = next(d for d in range(99) if held(d))
     (r,) = C.scored(spark.createDataFrame([(never, "a b")], "doc_id long, text string")).collect()
     assert tuple(r) == (never, True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_lists_of_a_word_are_added_one_by_one():
+    """A frequent word's lists come over many batches, and only sums are held: peak memory doesn't grow with their number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    size, peaks = 5000, []
+    for lists in (40, 400):
+        want = np.zeros((3, 2, size), np.int64)
+
+        def batches(lists=lists, want=want):
+            for w in (0, 2):
+                for k in range(lists):
+                    other, before = np.sort(rng.choice(size, 2000, replace=False)).astype(np.int32), bool(k % 2)
+                    n = rng.integers(1, 9, 2000)
+                    want[w, int(before), other] += n
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([before]), pa.array([other.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["w", "before", "other", "n"])
+
+        tracemalloc.start()
+        got = list(C.merged_sides(batches(), size))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert [b.column("w")[0].as_py() for b in got] == [0, 2]
+        for b in got:
+            w, _, other, n, before = C._near(b)
+            have = np.zeros((2, size), np.int64)
+            have[before.astype(int), other] = n
+            assert (have == want[w[0]]).all()
+    assert peaks[1] < 1.5 * peaks[0]

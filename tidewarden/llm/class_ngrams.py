@@ -226,6 +226,31 @@ def _sides(key: np.ndarray, n: np.ndarray, size: int, head: int) -> Iterator[tup
             yield int(a[x]), (key[x:y] % size).astype(np.int32), n[x:y]
 
 
+MERGED = pa.schema([("w", pa.int32()), ("other", pa.binary()), ("n", pa.binary()), ("before", pa.binary())])
+
+
+def merged_sides(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """One row of each w from its lists (w, before, other, n), in order of w. Holds 2 size sums, however many lists there are."""
+    sums, last = np.zeros(2 * size, np.int64), None
+
+    def row() -> pa.RecordBatch:
+        key = np.flatnonzero(sums)
+        out = common.as_batch(MERGED, [[last], [(key % size).astype(np.int32).tobytes()], [sums[key].tobytes()], [(key >= size).tobytes()]])
+        sums[:] = 0
+        return out
+
+    for b in batches:
+        for k in range(b.num_rows):
+            w = b.column("w")[k].as_py()
+            if last is not None and w != last:
+                yield row()
+            last = w
+            key = np.frombuffer(b.column("other")[k].as_buffer(), np.int32) + size * np.int64(b.column("before")[k].as_py())
+            sums[key] += np.frombuffer(b.column("n")[k].as_buffer(), np.int64)  # a list has each word once
+    if last is not None:
+        yield row()
+
+
 def neighbours(coded: DataFrame, v: Vocabulary) -> DataFrame:
     """For each clustered word w the words after it and before it: other (int32), n (int64) and before (bool), as bytes.
 
@@ -267,18 +292,12 @@ def neighbours(coded: DataFrame, v: Vocabulary) -> DataFrame:
         if held:
             yield from sums()
 
-    merged = pa.schema([("w", pa.int32()), ("other", pa.binary()), ("n", pa.binary()), ("before", pa.binary())])
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                near = b.column("near")[k].values
-                keys = [np.frombuffer(x.as_buffer(), np.int32) + size * np.int64(y.as_py()) for x, y in zip(near.field("other"), near.field("before"), strict=True)]
-                n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in near.field("n")])
-                key, of = np.unique(np.concatenate(keys), return_inverse=True)
-                yield common.as_batch(merged, [[b.column("w")[k].as_py()], [(key % size).astype(np.int32).tobytes()], [np.bincount(of, weights=n).astype(np.int64).tobytes()], [(key >= size).tobytes()]])
+        yield from merged_sides(batches, size)
 
-    near = coded.mapInArrow(run, "w int, before boolean, other binary, n binary").groupBy("w").agg(F.collect_list(F.struct("before", "other", "n")).alias("near"))
+    # A frequent word has a list of each flush of each task, which together grow with the input: they are added one by one, never held.
+    n = common.partitions(coded.sparkSession)
+    near = coded.mapInArrow(run, "w int, before boolean, other binary, n binary").repartition(n, "w").sortWithinPartitions("w")
     return common.written(near.mapInArrow(merge, "w int, other binary, n binary, before binary"), "neighbours")
 
 
