@@ -26,3 +26,10 @@ def test_no_stale_link_after_overwrites(spark, tmp_path):
     # The changes that were emitted add up to the same links.
     w = spark.read.parquet(f"{tmp_path}/links").groupBy("content", "id").agg(F.max_by("linked", "seq").alias("linked")).where("linked")
     assert {(r["content"], r["id"]) for r in w.collect()} == {(c, i) for c, ids in want.items() for i in ids}
+
+
+def test_what_a_batch_links_and_drops_again_is_no_change(spark, tmp_path):
+    df = spark.createDataFrame([(s, "put", f"m{s % 3}", f"text {s}") for s in range(60)], "seq long, op string, id string, content string")
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    store_state.kept(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/links", f"{tmp_path}/state", availableNow=True).awaitTermination()
+    assert {(r["content"], r["id"], r["linked"]) for r in spark.read.parquet(f"{tmp_path}/links").collect()} == {(f"text {s}", f"m{s % 3}", True) for s in (57, 58, 59)}

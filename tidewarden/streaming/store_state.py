@@ -25,23 +25,29 @@ _CHANGE = "content string, id string, seq long, linked boolean"
 
 
 class Entries(StatefulProcessor):
-    """The last put of each id; what its operations link and unlink."""
+    """The last put of each id; the links that its operations of a batch leave dropped or made.
+
+    What a batch links and drops again is no change, so a content passes on only if it was or stays linked.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entry = handle.getValueState("entry", "seq long, content string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = self.entry.get()[1] if self.entry.exists() else None
-        out, put = [], None
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            then = r.content if r.op == PUT else None
-            if then != now:
-                out += [(now, key[0], r.seq, False)] * (now is not None) + [(then, key[0], r.seq, True)] * (then is not None)
-            now, put = then, int(r.seq) if then is not None else None
-        if put is not None:
-            self.entry.update((put, now))
-        elif self.entry.exists():
+        last = None
+        for batch in rows:
+            r = batch.loc[batch["seq"].idxmax()]
+            if last is None or r["seq"] > last["seq"]:
+                last = r
+        seq, then = int(last["seq"]), last["content"] if last["op"] == PUT else None
+        if then is not None:
+            self.entry.update((seq, then))
+        elif now is not None:
             self.entry.clear()
+        out = []
+        if then != now:
+            out += [(now, key[0], seq, False)] * (now is not None) + [(then, key[0], seq, True)] * (then is not None)
         yield pd.DataFrame(out, columns=["content", "id", "seq", "linked"])
 
     def close(self) -> None:
